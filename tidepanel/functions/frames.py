@@ -47,11 +47,11 @@ def change(x: Column | str, n: int, by=SERIES, order="session") -> Column:
 
 
 def plain_return(x: Column | str, n: int = 1, by=SERIES, order="session") -> Column:
-    return col(x) / F.lag(col(x), n).over(line(by, order)) - 1
+    return F.try_divide(col(x), F.lag(col(x), n).over(line(by, order))) - 1
 
 
 def forward_return(x: Column | str, h: int, by=SERIES, order="session") -> Column:
-    return F.lead(col(x), h).over(line(by, order)) / col(x) - 1
+    return F.try_divide(F.lead(col(x), h).over(line(by, order)), col(x)) - 1
 
 
 def with_padded_return(df: DataFrame, x: str, out: str, n: int = 1,
@@ -105,7 +105,10 @@ def rolling_corr(x, y, n, by=SERIES, order="session", least=None) -> Column:
     w = trailing(n, by, order)
     both = F.when(col(x).isNotNull() & col(y).isNotNull(), F.lit(1))
     fx, fy = F.when(both.isNotNull(), col(x)), F.when(both.isNotNull(), col(y))
-    return F.when(F.count(both).over(w) >= (least or n), F.corr(fx, fy).over(w))
+    # a flat leg has no correlation: the product of deviations is 0, the result NULL
+    spread = F.stddev_samp(fx).over(w) * F.stddev_samp(fy).over(w)
+    corr = F.covar_samp(fx, fy).over(w) / F.nullif(spread, F.lit(0.0))
+    return F.when(F.count(both).over(w) >= (least or n), corr)
 
 
 def rolling_beta(x, bench, n, by=SERIES, order="session") -> Column:

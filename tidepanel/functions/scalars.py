@@ -114,4 +114,4 @@ def strike_for_delta(spot, sigma, years, target: float = -0.30, rate: float = RA
     s, v, t = col(spot), col(sigma), col(years)
     d1 = norm_ppf(1 + target)
     k = s * F.exp((rate + v * v / 2) * t - F.lit(d1) * v * F.sqrt(t))
-    return F.bround(F.least(F.greatest(k, s * 0.5), s * 1.1), 0)
+    return F.when(k.isNotNull(), F.bround(F.least(F.greatest(k, s * 0.5), s * 1.1), 0))

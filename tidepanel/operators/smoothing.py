@@ -1,19 +1,25 @@
 """Exponentially weighted means as a two-level scan.
 
-y_t = a_t * y_(t-1) + b_t * x_t is a chain of affine maps. Inside a chunk of a few
-sessions the chain has a closed form over windows; each chunk reduces to one map
-(A, B), the maps of a series are folded, and every row adds its share of the carried
-value. No row-at-a-time Python, and no task holds more than one chunk of raw rows.
+y_t = a_t * y_(t-1) + b_t * x_t is a chain of affine maps. Inside a chunk of sessions
+the chain has a closed form over windows; each chunk reduces to one map (A, B), and a
+row folds the maps of the chunks before its own. Everything is a window over one
+partitioning and one sort: no join, no row-at-a-time Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import log10
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 64
+
+def _chunk_size(alpha: float) -> int:
+    """Sessions per chunk such that the decay inside one stays far from underflow."""
+    if alpha >= 1:
+        return 1
+    return max(1, min(256, int(150 / -log10(1 - alpha))))
 
 
 def ewm_means(df: DataFrame, specs: dict[str, tuple[Column | str, float]],
@@ -33,58 +39,46 @@ def ewm_means(df: DataFrame, specs: dict[str, tuple[Column | str, float]],
 
 def _one_mean(df, name, value, alpha, by, number, ignore_gaps, fill):
     x = F.col(value) if isinstance(value, str) else value
-    rows = df.withColumn("__x", x.cast("double"))
-    series = Window.partitionBy(*by).orderBy(number)
+    rows = df.withColumn("__x", x.cast("double")).withColumn(
+        "__chunk", F.floor(F.col(number) / _chunk_size(alpha)))
+    # (chunk, number) orders like number, and lets both levels share one sort
+    series = Window.partitionBy(*by).orderBy("__chunk", number)
     sofar = series.rowsBetween(Window.unboundedPreceding, 0)
-    present = F.col("__x").isNotNull()
-    rows = rows.withColumn("__n", F.count("__x").over(sofar))
-    tick = F.col("__n") - 1 if ignore_gaps else F.col(number)
-    rows = rows.withColumn("__tick", tick.cast("long"))
     before = series.rowsBetween(Window.unboundedPreceding, -1)
-    last_tick = F.last(F.when(present, F.col("__tick")), ignorenulls=True).over(before)
-    rows = rows.withColumn("__gap", F.when(present, F.col("__tick") - last_tick))
-    # affine map of a present row; the seed row discards the carry
-    old = F.pow(F.lit(1.0 - alpha), F.col("__gap"))
-    seed = present & F.col("__gap").isNull()
-    rows = (rows.withColumn("__a", F.when(seed, 0.0).when(present, old / (old + alpha)))
-                .withColumn("__b", F.when(seed, 1.0).when(present, alpha / (old + alpha)))
-                .withColumn("__chunk", F.floor(F.col(number) / CHUNK)))
     cell = Window.partitionBy(*by, "__chunk").orderBy(number)
     inside = cell.rowsBetween(Window.unboundedPreceding, 0)
-    # products run relative to the chunk's first present row, whose own factor is kept
-    # apart: it may be 0 (seed) or tiny (a long gap)
-    head = present & (F.count("__x").over(inside) == 1)
-    rows = rows.withColumn("__head", head)
+    after = cell.rowsBetween(1, Window.unboundedFollowing)
+    present = F.col("__x").isNotNull()
+
+    if ignore_gaps:
+        gap = F.when(present & (F.count("__x").over(before) > 0), F.lit(1))
+    else:
+        seen = F.last(F.when(present, F.col(number)), ignorenulls=True).over(before)
+        gap = F.when(present, F.col(number) - seen)
+    rows = rows.withColumn("__gap", gap)
+    # the map of a present row; the seed row discards what it is handed
+    old = F.pow(F.lit(1.0 - alpha), F.col("__gap"))
+    seed = present & F.col("__gap").isNull()
+    rows = rows.withColumns({
+        "__a": F.when(seed, 0.0).when(present, old / (old + alpha)),
+        "__b": F.when(seed, 1.0).when(present, alpha / (old + alpha)),
+        "__head": present & (F.count("__x").over(inside) == 1),
+        "__end": present & (F.count("__x").over(after) == 0)})
+    # products run from the chunk's first present row, whose own factor is kept apart:
+    # it may be 0 (seed) or tiny (a long gap)
     step = F.when(present, F.when(F.col("__head"), 0.0).otherwise(F.ln("__a")))
     rows = rows.withColumn("__log", F.sum(step).over(inside))
     part = F.when(present, F.col("__b") * F.col("__x") * F.exp(-F.col("__log")))
-    rows = rows.withColumn("__local", F.exp("__log") * F.sum(part).over(inside))
-    first_a = F.max(F.when(F.col("__head"), F.col("__a"))).over(inside)
-    rows = rows.withColumn("__reach", F.exp("__log") * first_a)
-    # one map per chunk, folded per series into the value carried into each chunk
-    ends = rows.filter(F.col("__reach").isNotNull()).groupBy(*by, "__chunk").agg(
-        F.max_by(F.struct(F.col("__reach").alias("A"), F.col("__local").alias("B")),
-                 F.col(number)).alias("m"))
-    chain = ends.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("__chunk", "m"))).alias("maps"))
-    empty = F.array().cast("array<struct<__chunk:bigint,carry:double>>")
-
-    def advance(acc, item):
-        here = F.struct(item["__chunk"].alias("__chunk"), acc["y"].alias("carry"))
-        nxt = item["m"]["A"] * F.coalesce(acc["y"], F.lit(0.0)) + item["m"]["B"]
-        return F.struct(nxt.alias("y"), F.concat(acc["out"], F.array(here)).alias("out"))
-
-    start = F.struct(F.lit(None).cast("double").alias("y"), empty.alias("out"))
-    carries = (chain.select(*by, F.explode(F.aggregate("maps", start, advance,
-                                                       lambda acc: acc["out"])).alias("c"))
-                    .select(*by, "c.__chunk", "c.carry"))
-    keys = [*by, "__chunk"]
-    joined = rows.join(carries, keys, "left")
-    mean = F.col("__local") + F.col("__reach") * F.coalesce("carry", F.lit(0.0))
-    joined = joined.withColumn(name, F.when(present, mean))
+    head_a = F.max(F.when(F.col("__head"), F.col("__a"))).over(inside)
+    rows = rows.withColumns({"A": F.exp("__log") * head_a,
+                             "B": F.exp("__log") * F.sum(part).over(inside)})
+    maps = F.collect_list(F.when(F.col("__end"), F.struct("A", "B"))).over(before)
+    rows = rows.withColumn("__maps", maps)
+    carry = F.aggregate("__maps", F.lit(0.0), lambda y, m: m["A"] * y + m["B"])
+    rows = rows.withColumn(name, F.when(present, F.col("B") + F.col("A") * carry))
     if fill:
-        joined = joined.withColumn(name, F.last(name, ignorenulls=True).over(sofar))
-    return joined.select(*df.columns, name)
+        rows = rows.withColumn(name, F.last(name, ignorenulls=True).over(sofar))
+    return rows.select(*df.columns, name)
 
 
 def span_alpha(span: int) -> float:

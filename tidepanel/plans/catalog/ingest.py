@@ -156,7 +156,7 @@ def s09(v: Views):
 
 
 @query("s10_rate_records", sql("hourly", """
-SELECT series_id, CAST(to_timestamp(ts_ms / 1000.0) AT TIME ZONE 'UTC' AS DATE) AS date, ts_ms,
+SELECT series_id, date, ts_ms,
   min(CASE WHEN rate < 5 THEN 0 ELSE rate END) AS rate FROM hourly GROUP BY 1, 2, 3"""))
 def s10(v: Views):
     h = v.hourly()
@@ -521,7 +521,7 @@ def t01(v: Views):
 
 
 @query("t02_epoch_dates", """
-SELECT event_id, epoch_ms(ts) AS ts_ms, CAST(ts AS DATE) AS day FROM events""")
+SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, CAST(ts AS DATE) AS day FROM events""")
 def t02(v: Views):
     e = v.table("events").select("event_id", tc.epoch_millis("ts").alias("ts_ms"))
     return e.withColumn("day", tc.epoch_date("ts_ms", 86_400_000))

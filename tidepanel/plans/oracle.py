@@ -66,7 +66,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM cal c CROSS JOIN (SELECT DISTINCT asset FROM feats) a
         ASOF LEFT JOIN feats f ON f.asset = a.asset AND c.session >= f.effective_date"""),
     "hourly": ((), """
-        SELECT event_type AS series_id, epoch_ms(ts) AS ts_ms, ts, CAST(ts AS DATE) AS date,
+        SELECT event_type AS series_id, epoch_us(ts) // 1000 AS ts_ms, ts, CAST(ts AS DATE) AS date,
                value AS rate FROM events"""),
     "rates": ((), """
         SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS date,

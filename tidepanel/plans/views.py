@@ -79,6 +79,10 @@ class Views:
         dense = ss.densify_full(self.bars(by), self.calendar())
         return fr.with_padded_return(dense, "close", "ret")
 
+    def bars_numbered(self) -> DataFrame:
+        """Bars with their session number, not densified."""
+        return self.bars().join(self.calendar(), ["panel_id", "session"])
+
     def series(self, instrument: str, **columns: str) -> DataFrame:
         """One instrument on the calendar: column=field pairs, keyed by panel."""
         p = self.panel().filter(F.col("instrument") == instrument)
