@@ -85,7 +85,10 @@ def rolling_max(x, n, by=SERIES, order="session", least=None) -> Column:
 
 def rolling_median(x, n, by=SERIES, order="session", least=None) -> Column:
     w = trailing(n, by, order)
-    return needs(x, w, least or n, F.percentile(col(x), F.lit(0.5)).over(w))
+    ordered = F.sort_array(F.collect_list(col(x)).over(w))
+    size = F.size(ordered)
+    middle = (F.get(ordered, F.floor((size - 1) / 2)) + F.get(ordered, F.floor(size / 2))) / 2
+    return needs(x, w, least or n, middle)
 
 
 def rolling_zscore(x, n, by=SERIES, order="session", least=None) -> Column:

@@ -65,14 +65,16 @@ def combine_horizons(frames: dict[int, DataFrame], keys: Sequence[str]) -> DataF
 
 def block_rows(df: DataFrame, hold: int, start: Column | int,
                panel: Sequence[str] = ("panel_id",), number: str = "sess_no",
-               size: DataFrame | None = None) -> DataFrame:
-    """Every hold-th session from ``start`` whose holding period is complete."""
-    sizes = size if size is not None else df.groupBy(*panel).agg(
-        (F.max(number) + 1).alias("__size"))
+               size: str = "n_sessions") -> DataFrame:
+    """Every hold-th session from ``start`` whose holding period is complete. The number
+    of sessions comes with the calendar; without it, it is counted per panel."""
+    if size not in df.columns:
+        counted = df.groupBy(*panel).agg((F.max(number) + 1).alias(size))
+        df = df.join(F.broadcast(counted), list(panel))
     first = F.lit(start) if isinstance(start, int) else start
     due = ((F.col(number) >= first) & ((F.col(number) - first) % hold == 0)
-           & (F.col(number) < F.col("__size") - hold))
-    return df.join(F.broadcast(sizes), list(panel)).filter(due).drop("__size")
+           & (F.col(number) < F.col(size) - hold))
+    return df.filter(due)
 
 
 def every_kth(df: DataFrame, k: int, by: Sequence[str], order: str) -> DataFrame:

@@ -9,11 +9,12 @@ PANEL = "panel_id"
 
 
 def session_calendar(bars: DataFrame, panel: str = PANEL) -> DataFrame:
-    """Distinct sessions per panel with a dense zero-based number. The frame that is
-    numbered holds one row per calendar day, whatever the size of the bars."""
+    """Distinct sessions per panel with a dense zero-based number and their count. The
+    frame that is numbered holds one row per calendar day, whatever the size of the bars."""
     days = bars.select(panel, "session").distinct()
-    number = F.row_number().over(Window.partitionBy(panel).orderBy("session")) - 1
-    return days.withColumn("sess_no", number)
+    w = Window.partitionBy(panel)
+    return days.withColumns({"sess_no": F.row_number().over(w.orderBy("session")) - 1,
+                             "n_sessions": F.count(F.lit(1)).over(w)})
 
 
 def validity_ranges(bars: DataFrame, panel: str = PANEL) -> DataFrame:
@@ -31,7 +32,8 @@ def _fill_grid(spans: DataFrame, bars: DataFrame, calendar: DataFrame, panel: st
 
 def densify_between(bars: DataFrame, calendar: DataFrame, panel: str = PANEL) -> DataFrame:
     """Every session between an instrument's own first and last bar."""
-    numbered = bars.select(panel, "instrument", "session").join(calendar, [panel, "session"])
+    numbered = bars.select(panel, "instrument", "session").join(
+        calendar.select(panel, "session", "sess_no"), [panel, "session"])
     spans = numbered.groupBy(panel, "instrument").agg(
         F.min("sess_no").alias("lo"), F.max("sess_no").alias("hi"))
     return _fill_grid(spans, bars, calendar, panel)

@@ -40,6 +40,15 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "panel": (("padded",), """
         SELECT *, ff / lag(ff, 1) OVER (PARTITION BY instrument ORDER BY session) - 1 AS ret
         FROM padded"""),
+    "carried": (("panel",), """
+        SELECT instrument, session, sess_no, ret, ff, last_value(open IGNORE NULLS) OVER f AS open,
+          last_value(high IGNORE NULLS) OVER f AS high,
+          last_value(low IGNORE NULLS) OVER f AS low,
+          last_value(close IGNORE NULLS) OVER f AS close,
+          last_value(volume IGNORE NULLS) OVER f AS volume,
+          last_value(factor IGNORE NULLS) OVER f AS factor
+        FROM panel WINDOW f AS (PARTITION BY instrument ORDER BY session
+                                ROWS UNBOUNDED PRECEDING)"""),
     "positions": ((), f"""
         SELECT *, round((nc_long - nc_short) / oi, 8) AS net_pct FROM (
           SELECT asset, CAST(date_trunc('week', o_orderdate) AS DATE) + 1 AS report_date,

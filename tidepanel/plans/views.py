@@ -79,6 +79,12 @@ class Views:
         dense = ss.densify_full(self.bars(by), self.calendar())
         return fr.with_padded_return(dense, "close", "ret")
 
+    def carried(self) -> DataFrame:
+        """The panel with every field carried over gaps, for rules that need whole
+        windows of prices."""
+        fields = ("open", "high", "low", "close", "volume", "factor")
+        return self.panel().withColumns({c: fr.last_valid(c) for c in fields})
+
     def bars_numbered(self) -> DataFrame:
         """Bars with their session number, not densified."""
         return self.bars().join(self.calendar(), ["panel_id", "session"])
@@ -86,14 +92,17 @@ class Views:
     def series(self, instrument: str, **columns: str) -> DataFrame:
         """One instrument on the calendar: column=field pairs, keyed by panel."""
         p = self.panel().filter(F.col("instrument") == instrument)
-        return p.select("panel_id", "session", "sess_no",
+        return p.select("panel_id", "session", "sess_no", "n_sessions",
                         *[F.col(field).alias(c) for c, field in columns.items()])
 
-    def wide(self, names: list[str], field: str = "close") -> DataFrame:
+    def wide(self, names: list[str], field: str = "close", carried: bool = False) -> DataFrame:
         """Sessions with one column per name: a pivot over a fixed list."""
         bars = self.bars().filter(F.col("instrument").isin(names))
         wide = bars.groupBy("panel_id", "session").pivot("instrument", names).agg(F.first(field))
-        return self.calendar().join(wide, ["panel_id", "session"], "left")
+        rows = self.calendar().join(wide, ["panel_id", "session"], "left")
+        if carried:
+            rows = rows.withColumns({n: fr.last_valid(n, ("panel_id",)) for n in names})
+        return rows
 
     def positions(self) -> DataFrame:
         """Weekly positioning: longs from filled, shorts from open orders."""
