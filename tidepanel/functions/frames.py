@@ -19,6 +19,14 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def by_series(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
+    """Place each series whole on one of ``spark.sql.shuffle.partitions`` partitions.
+    It is the exchange the windows need anyway; naming the number keeps adaptive
+    execution from merging small but compute-heavy partitions into one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *[F.col(k) for k in by])
+
+
 def line(by: Sequence[str] = SERIES, order: str = "session") -> WindowSpec:
     return Window.partitionBy(*by).orderBy(order)
 
@@ -86,9 +94,11 @@ def rolling_max(x, n, by=SERIES, order="session", least=None) -> Column:
 def rolling_median(x, n, by=SERIES, order="session", least=None) -> Column:
     w = trailing(n, by, order)
     ordered = F.sort_array(F.collect_list(col(x)).over(w))
-    size = F.size(ordered)
-    middle = (F.get(ordered, F.floor((size - 1) / 2)) + F.get(ordered, F.floor(size / 2))) / 2
-    return needs(x, w, least or n, middle)
+    # bound once to a lambda variable: the frame is sorted one time per row
+    middle = F.transform(F.array(ordered), lambda s: (
+        F.get(s, F.floor((F.size(s) - 1) / 2).cast("int"))
+        + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2)
+    return needs(x, w, least or n, F.get(middle, F.lit(0)))
 
 
 def rolling_zscore(x, n, by=SERIES, order="session", least=None) -> Column:

@@ -291,7 +291,7 @@ WINDOW w5 AS (PARTITION BY instrument ORDER BY session ROWS 4 PRECEDING),
   w20 AS (PARTITION BY instrument ORDER BY session ROWS 19 PRECEDING),
   w60 AS (PARTITION BY instrument ORDER BY session ROWS 59 PRECEDING)"""))
 def w26(v: Views):
-    b = v.bars().withColumn("v", F.nullif("volume", F.lit(0.0))).withColumn(
+    b = fr.by_series(v.bars()).withColumn("v", F.nullif("volume", F.lit(0.0))).withColumn(
         "ret", fr.plain_return("close"))
     w5, w20, w60 = fr.trailing(5), fr.trailing(20), fr.trailing(60)
     ratio = fr.needs("v", w60, 60, F.avg("v").over(w5) / F.avg("v").over(w60))
@@ -331,7 +331,7 @@ FROM (SELECT *, list(g) FILTER (g IS NOT NULL) OVER w AS l FROM (
    WINDOW v AS (PARTITION BY instrument ORDER BY session ROWS 4 PRECEDING)) """ + w(252) + """)
 WHERE g IS NOT NULL"""))
 def w30(v: Views):
-    b = v.bars().withColumn("g", (F.col("high") - F.col("low")) / F.col("close"))
+    b = fr.by_series(v.bars()).withColumn("g", (F.col("high") - F.col("low")) / F.col("close"))
     b = b.withColumn("g", F.round(fr.rolling_mean("g", 5), 9))
     b = b.withColumn("rng_pct", fr.rank_percentile("g", 252))
     return b.filter("g is not null").select(*KEYS, one("rng_pct", name="rng_pct"))

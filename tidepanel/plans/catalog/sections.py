@@ -214,7 +214,7 @@ FROM (SELECT instrument, session, CASE WHEN len(l) >= 60 THEN
   FROM (SELECT *, list(close) OVER (PARTITION BY instrument ORDER BY session
         ROWS 251 PRECEDING) AS l FROM bars))"""))
 def c03(v: Views):
-    b = v.bars().withColumn("p", fr.inclusive_percentile("close"))
+    b = fr.by_series(v.bars()).withColumn("p", fr.inclusive_percentile("close"))
     rich = sc.truthy(F.col("p") >= 0.60)
     return b.select("instrument", "session", sc.band("p").alias("band"),
                     F.when(rich, "rich").otherwise("cheap").alias("tilt"),

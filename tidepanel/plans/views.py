@@ -43,15 +43,26 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._plans: dict[str, DataFrame] = {}
+
+    def _once(self, key: str, build) -> DataFrame:
+        """Plans are built once per query; nothing is cached but the plan."""
+        if key not in self._plans:
+            self._plans[key] = build()
+        return self._plans[key]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._once(f"table:{name}", lambda: self.spark.read.parquet(
+            f"{self.folder}/{name}.parquet"))
 
     def trades(self) -> DataFrame:
         part = self.table("part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
         return self.table("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
 
     def bars(self, by: str = "brand") -> DataFrame:
+        return self._once(f"bars:{by}", lambda: self._bars(by))
+
+    def _bars(self, by: str) -> DataFrame:
         price = F.col("l_extendedprice") / F.col("l_quantity")
         names = F.array(*[F.lit(n) for n in BRAND_INSTRUMENTS])
         number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
@@ -70,14 +81,14 @@ class Views:
         """Sessions straight from the scan: they need no join to the instruments."""
         if bars is not None:
             return ss.session_calendar(bars)
-        days = self.table("lineitem").select(F.lit(PANEL).alias("panel_id"),
-                                             F.to_date("l_shipdate").alias("session"))
-        return ss.session_calendar(days)
+        return self._once("calendar", lambda: ss.session_calendar(
+            self.table("lineitem").select(F.lit(PANEL).alias("panel_id"),
+                                          F.to_date("l_shipdate").alias("session"))))
 
     def panel(self, by: str = "brand") -> DataFrame:
         """Bars densified to every session, with the padded one-session return."""
-        dense = ss.densify_full(self.bars(by), self.calendar())
-        return fr.with_padded_return(dense, "close", "ret")
+        return self._once(f"panel:{by}", lambda: fr.with_padded_return(
+            fr.by_series(ss.densify_full(self.bars(by), self.calendar())), "close", "ret"))
 
     def carried(self) -> DataFrame:
         """The panel with every field carried over gaps, for rules that need whole
@@ -87,7 +98,7 @@ class Views:
 
     def bars_numbered(self) -> DataFrame:
         """Bars with their session number, not densified."""
-        return self.bars().join(self.calendar(), ["panel_id", "session"])
+        return fr.by_series(self.bars().join(self.calendar(), ["panel_id", "session"]))
 
     def series(self, instrument: str, **columns: str) -> DataFrame:
         """One instrument on the calendar: column=field pairs, keyed by panel."""
