@@ -28,7 +28,7 @@ def daily_positions(features: DataFrame, calendar: DataFrame,
                     cols=("idx52", "z156", "chg4w")) -> DataFrame:
     """Weekly features carried onto every session from their effective date."""
     assets = features.select(*POS).distinct()
-    grid = calendar.join(F.broadcast(assets), "panel_id")
+    grid = calendar.join(assets, "panel_id")
     return asof.asof_backward(grid, features, POS, "session", "effective_date", list(cols))
 
 

@@ -70,7 +70,7 @@ def block_rows(df: DataFrame, hold: int, start: Column | int,
     of sessions comes with the calendar; without it, it is counted per panel."""
     if size not in df.columns:
         counted = df.groupBy(*panel).agg((F.max(number) + 1).alias(size))
-        df = df.join(F.broadcast(counted), list(panel))
+        df = df.join(counted, list(panel))
     first = F.lit(start) if isinstance(start, int) else start
     due = ((F.col(number) >= first) & ((F.col(number) - first) % hold == 0)
            & (F.col(number) < F.col(size) - hold))

@@ -108,10 +108,10 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
 
 def start_after_first(df: DataFrame, x: str, plus: int = 1) -> DataFrame:
     """Adds ``__start``: the number of the first session where x exists, plus one. One
-    value per panel, joined back as a broadcast row."""
+    value per panel."""
     first = df.groupBy("panel_id").agg(
         (F.min(F.when(col(x).isNotNull(), F.col("sess_no"))) + plus).alias("__start"))
-    return df.join(F.broadcast(first), "panel_id")
+    return df.join(first, "panel_id")
 
 
 # --- scores of the cross-sectional rules ------------------------------------

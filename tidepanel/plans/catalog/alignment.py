@@ -85,7 +85,7 @@ SELECT session, asset, round(last_value(idx52 IGNORE NULLS) OVER (PARTITION BY a
 def j07_unbounded(v: Views):
     feats = hs.weekly_features(v.positions())
     assets = feats.select("panel_id", "asset").distinct()
-    grid = v.calendar().join(F.broadcast(assets), "panel_id")
+    grid = v.calendar().join(assets, "panel_id")
     out = asof.exact_then_fill(grid, feats, ["panel_id", "asset"], "session", "effective_date",
                                ["idx52"])
     return out.select("session", "asset", r("idx52"))

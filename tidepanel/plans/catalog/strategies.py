@@ -361,9 +361,9 @@ def b13(v: Views):
         F.col("series_id").alias("panel_id"), "date", "z156")
     days = own.select("panel_id", "session", F.col("close").alias("price")).join(
         cal, ["panel_id", "session"])
-    panels = feats.select("panel_id").distinct()
-    days = days.drop("panel_id").withColumn("__j", F.lit(1)).join(
-        F.broadcast(panels.withColumn("__j", F.lit(1))), "__j").drop("__j")
+    # the price calendar once per rate series: three registered series, one literal array
+    series = F.array(F.lit("A"), F.lit("N"), F.lit("R"))
+    days = days.withColumn("panel_id", F.explode(series))
     z = asof.exact_then_fill(days, feats, ["panel_id"], "session", "date", ["z156"], limit=3)
     pnl = stg.funding_fade(z.withColumnRenamed("z156", "z"))
     return pnl.select(F.col("panel_id").alias("series_id"), "session",
@@ -422,7 +422,7 @@ def a05(v: Views):
     per = _flow_legs(v).groupBy("panel_id", "instrument").agg(
         F.count("*").alias("legs"), F.sum("pnl").alias("total"), F.avg("pnl").alias("mean"))
     top = per.groupBy("panel_id").agg(F.max_by("instrument", "total").alias("top"))
-    return per.join(F.broadcast(top), "panel_id").select(
+    return per.join(top, "panel_id").select(
         "instrument", "legs", F.round("total", 6).alias("total"),
         F.round("mean", 6).alias("mean"), (F.col("instrument") == F.col("top")).alias("is_top"))
 
@@ -453,10 +453,10 @@ def a06(v: Views):
     w = fr.running(("panel_id",))
     per = per.withColumns({"cum": F.sum("c").over(w)})
     total = per.groupBy("panel_id").agg(F.max("cum").alias("n"))
-    mid = per.join(F.broadcast(total), "panel_id").filter(
+    mid = per.join(total, "panel_id").filter(
         F.col("cum") > F.floor(F.col("n") / 2)).groupBy("panel_id").agg(
         F.min("session").alias("mid"))
-    tagged = legs.join(F.broadcast(top), "panel_id").join(F.broadcast(mid), "panel_id")
+    tagged = legs.join(top, "panel_id").join(mid, "panel_id")
     parts = F.array_compact(F.array(
         F.lit("full"), F.when(F.col("session") < F.col("mid"), "first").otherwise("second"),
         F.when(F.col("instrument") != F.col("top"), "ex_top")))
@@ -593,5 +593,5 @@ def b22(v: Views):
     pnls = env.materialise(_event_pnls(v), "pnls")
     stats = gate.deflated_sharpe(pnls, ["panel_id", "strategy"], 2)
     pbo = gate.overfit_probability(pnls)
-    verdict = gate.gate_verdict(stats.join(F.broadcast(pbo), "panel_id"))
+    verdict = gate.gate_verdict(stats.join(pbo, "panel_id"))
     return verdict.select("strategy", "passes", F.size("reasons").alias("n_reasons"))
