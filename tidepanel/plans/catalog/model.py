@@ -1 +1,180 @@
-"""Registered queries."""
+"""Feature, label, fold and model queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidepanel import session as env
+from tidepanel.functions import calendar as tc
+from tidepanel.functions import frames as fr
+from tidepanel.operators import model
+from tidepanel.operators import histories as hs
+from tidepanel.operators import asof
+from tidepanel.operators import sections as xs
+from tidepanel.plans.oracle import sql
+from tidepanel.plans.registry import query
+from tidepanel.plans.views import Views
+from tidepanel.universe import MACRO_FORCE
+
+_W = "OVER (PARTITION BY instrument ORDER BY session ROWS {n} PRECEDING)"
+
+
+def _over(n: int) -> str:
+    return _W.format(n=n - 1)
+
+
+def r(name: str, digits: int = 6):
+    return F.round(name, digits).alias(name)
+
+
+@query("m01_features", sql("carried", f"""
+SELECT instrument, session, round((close - open) / open, 6) AS bar_mid,
+  round((high - greatest(open, close)) / open, 6) AS bar_up,
+  round(lag(close, 20) OVER (PARTITION BY instrument ORDER BY session) / close, 6) AS roc_20,
+  CASE WHEN count(close) {_over(20)} >= 20 THEN round(avg(close) {_over(20)} / close, 6) END
+    AS mean_20, CASE WHEN count(close) {_over(20)} >= 20 THEN
+    round(min(low) {_over(20)} / close, 6) END AS min_20,
+  CASE WHEN count(ret) {_over(20)} >= 20 THEN round(avg((ret > 0)::INT) {_over(20)}, 6) END
+    AS up_share_20,
+  CASE WHEN count(volume) {_over(20)} >= 20 THEN round(avg(volume) {_over(20)}
+    / nullif(volume, 0), 9) END AS vol_mean_20 FROM carried"""))
+def m01(v: Views):
+    return model.with_features(v.carried()).select(
+        "instrument", "session", *[r(c) for c in ("bar_mid", "bar_up", "roc_20", "mean_20",
+                                                  "min_20", "up_share_20")], r("vol_mean_20", 9))
+
+
+@query("m02_labels", sql("carried", """
+SELECT instrument, session, round(lead(close, 5) OVER o / close - 1, 6) AS label_5,
+  round(lead(close, 21) OVER o / close - 1, 6) AS label_21
+FROM carried WINDOW o AS (PARTITION BY instrument ORDER BY session)"""))
+def m02(v: Views):
+    return model.with_labels(v.carried()).select("instrument", "session", r("label_5"),
+                                                 r("label_21"))
+
+
+def context(v: Views):
+    """Market-wide columns per session: momentum, volatility, stress, term and calendar."""
+    one = ("panel_id",)
+    wide = v.wide(["SPY", "HYG", "LQD", "TIP", "TLT", "VIX", "VIX3M", "DXY", "GOLD"], carried=True)
+    for c, n, name in (("SPY", 1, "__r"), ("SPY", 20, "ctx_spy_mom20"), ("DXY", 20, "ctx_dxy_mom20"),
+                       ("GOLD", 20, "ctx_gold_mom20"), ("VIX", 5, "ctx_vix_chg5")):
+        wide = fr.with_padded_return(wide, c, name, n, one)
+    wide = wide.withColumns({"__credit": F.ln(F.col("HYG") / F.col("LQD")),
+                             "__curve": F.ln(F.col("TIP") / F.col("TLT"))})
+    return wide.select(
+        "panel_id", "session", "ctx_spy_mom20", "ctx_dxy_mom20", "ctx_gold_mom20", "ctx_vix_chg5",
+        fr.rolling_std("__r", 20, one).alias("ctx_spy_vol20"),
+        fr.rolling_zscore("__credit", 120, one).alias("ctx_credit_stress"),
+        fr.rolling_zscore("__curve", 120, one).alias("ctx_curve"),
+        (F.col("VIX") / F.col("VIX3M")).alias("ctx_vix_ts"),
+        tc.days_to_next_meeting("session").alias("ctx_days_to_fomc"))
+
+
+def _r20(name: str) -> str:
+    return f"max(ff / lag20 - 1) FILTER (instrument = '{name}')"
+
+
+@query("m03_augmented", sql("panel posday", f"""
+SELECT p.instrument, p.session, round(c.ms, 6) AS ctx_spy_mom20, round(c.md, 6) AS ctx_dxy_mom20,
+  round(c.vt, 6) AS ctx_vix_ts, round(q.z156, 6) AS cot_z156, round(q.idx52, 6) AS cot_idx52
+FROM panel p JOIN (SELECT session, {_r20('SPY')} AS ms, {_r20('DXY')} AS md,
+    max(ff) FILTER (instrument = 'VIX') / max(ff) FILTER (instrument = 'VIX3M') AS vt
+  FROM (SELECT *, lag(ff, 20) OVER (PARTITION BY instrument ORDER BY session) AS lag20 FROM panel)
+  GROUP BY 1) c USING (session)
+LEFT JOIN posday q ON q.asset = p.instrument AND q.session = p.session"""))
+def m03(v: Views):
+    feats = hs.weekly_features(v.positions()).withColumnRenamed("asset", "instrument")
+    rows = asof.asof_backward(v.panel().select(*fr.SERIES, "session"), feats, fr.SERIES,
+                              "session", "effective_date", ["z156", "idx52"])
+    out = model.augment(rows, context(v))
+    return out.select("instrument", "session", r("ctx_spy_mom20"), r("ctx_dxy_mom20"),
+                      r("ctx_vix_ts"), F.round("z156", 6).alias("cot_z156"),
+                      F.round("idx52", 6).alias("cot_idx52"))
+
+
+@query("m04_purged_folds", sql("cal grid", """
+SELECT k::INT AS fold, count(*) FILTER (sess_no < 750 + 126 * k - 21 AND label IS NOT NULL) AS n_train,
+  CAST(max(sess_no + 21) FILTER (sess_no < 750 + 126 * k - 21) - (750 + 126 * k) AS INT)
+    AS last_label_gap,
+  count(*) FILTER (sess_no >= 750 + 126 * k AND sess_no < 750 + 126 * (k + 1)) AS n_scored
+FROM (SELECT *, lead(close, 21) OVER (PARTITION BY instrument ORDER BY session) / close - 1 AS label
+      FROM grid) JOIN range(0, 14) f(k) ON true GROUP BY k"""))
+def m04(v: Views):
+    """Training and scoring sizes per fold, and how far the last training label ends
+    before the refit (never after it)."""
+    p = v.panel().withColumn("label", fr.forward_return("close", 21))
+    n = F.col("n_sessions")
+    per = p.groupBy("sess_no", "n_sessions").agg(F.count("label").alias("labels"),
+                                                 F.count("*").alias("rows"))
+    folds = F.sequence(F.lit(0), F.ceil((n - 750) / 126).cast("int") - 1)
+    rows = per.withColumn("fold", F.explode(folds)).withColumn("at", F.col("fold") * 126 + 750)
+    train = F.col("sess_no") < F.col("at") - 21
+    live = (F.col("sess_no") >= F.col("at")) & (F.col("sess_no") < F.col("at") + 126)
+    return rows.groupBy("fold").agg(
+        F.sum(F.when(train, F.col("labels")).otherwise(0)).alias("n_train"),
+        F.max(F.when(train, F.col("sess_no") + 21 - F.col("at"))).alias("last_label_gap"),
+        F.sum(F.when(live, F.col("rows")).otherwise(0)).alias("n_scored"))
+
+
+NAMES = ["bar_mid", "bar_len", "bar_shift"] + [f"{x}_{n}" for n in (5, 20, 60) for x in (
+    "roc", "mean", "std", "up_share", "vol_mean")]
+
+
+def _scores(v: Views, horizon: int, refit: int = 630):
+    rows = model.with_labels(model.with_features(v.carried(), (5, 20, 60)), (horizon,))
+    data = env.materialise(rows.select(*fr.SERIES, "session", "sess_no", "n_sessions",
+                                       f"label_{horizon}", *NAMES), "features")
+    n = v.calendar().count()
+    out = model.walk_forward(data, NAMES, f"label_{horizon}", horizon, n, refit_every=refit,
+                             trees=5, depth=3)
+    return env.materialise(out, "scores"), n
+
+
+@query("m04_walk_forward")
+def m04_scores(v: Views):
+    scores, _ = _scores(v, 5)
+    return model.score_history(scores).select("session", "instrument", "fold", r("score"),
+                                              r("rank_pct"), "lean")
+
+
+@query("m05_model_pnl")
+def m05(v: Views):
+    scores, n = _scores(v, 21)
+    pnl = model.model_pnls(scores.withColumn("n_sessions", F.lit(n)), 21, 750)
+    return pnl.select("session", r("pnl"))
+
+
+@query("m06_latest_scores")
+def m06(v: Views):
+    """Newest scored session: score, rank, lean, conviction and force."""
+    scores, _ = _scores(v, 5)
+    ranked = model.score_history(scores)
+    last = ranked.groupBy("panel_id").agg(F.max("session").alias("session"))
+    now = ranked.join(last, ["panel_id", "session"])
+    combined = xs.combine_horizons({5: now}, ["session", "instrument"])
+    force = F.create_map(*[F.lit(x) for kv in MACRO_FORCE.items() for x in kv])
+    return combined.withColumn("force", F.coalesce(force[F.col("instrument")], F.lit("other")))
+
+
+@query("m07_trial_counts", sql("grid", """
+SELECT variant, count(DISTINCT horizon) AS horizons, bool_and(mean > 0) AS promoted,
+  2 * count(DISTINCT horizon) AS n_trials FROM (
+  SELECT variant, horizon, avg(x) AS mean FROM (
+    SELECT CASE WHEN instrument < 'M' THEN 'base' ELSE 'augmented' END AS variant, h.horizon,
+      CASE WHEN h.horizon = 5 THEN f5 ELSE f21 END AS x
+    FROM (SELECT *, lead(close, 5) OVER o / close - 1 AS f5, lead(close, 21) OVER o / close - 1 AS f21
+          FROM grid WINDOW o AS (PARTITION BY instrument ORDER BY session)) g
+    JOIN (VALUES (5), (21)) h(horizon) ON true) GROUP BY 1, 2) GROUP BY 1"""))
+def m07(v: Views):
+    """Every variant x horizon is a trial; a variant is promoted only if all pass."""
+    p = model.with_labels(v.panel())
+    variant = F.when(F.col("instrument") < "M", "base").otherwise("augmented")
+    rows = p.select(variant.alias("variant"), F.explode(F.array(
+        F.struct(F.lit(5).alias("horizon"), F.col("label_5").alias("x")),
+        F.struct(F.lit(21).alias("horizon"), F.col("label_21").alias("x")))).alias("c")).select(
+        "variant", "c.*")
+    per = rows.groupBy("variant", "horizon").agg(F.avg("x").alias("mean"))
+    return per.groupBy("variant").agg(
+        F.count("*").alias("horizons"), F.bool_and(F.col("mean") > 0).alias("promoted"),
+        (F.count("*") * 2).alias("n_trials"))

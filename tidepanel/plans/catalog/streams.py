@@ -1 +1,98 @@
-"""Registered queries."""
+"""Streaming histories, drained to completion and compared with their batch meaning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidepanel import session as env
+from tidepanel.operators import merge as mg
+from tidepanel.plans.oracle import sql
+from tidepanel.plans.registry import query
+from tidepanel.plans.views import Views
+from tidepanel.streaming import histories as st
+
+
+def _land(df, label: str, files: int):
+    path = env.scratch_path(df.sparkSession, label)
+    df.repartition(files).write.parquet(path)
+    return path
+
+
+def _events(v: Views):
+    e = v.hourly().withColumn("ts", F.col("ts").cast("timestamp"))
+    # every fifth event is delivered twice
+    copies = F.when(F.col("ts_ms") % 5 == 0, 2).otherwise(1)
+    return e.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")
+
+
+def _table(v: Views, df, label: str, keys):
+    return st.VersionedTable(v.spark, env.scratch_path(v.spark, label), df.schema, keys)
+
+
+@query("h01_stream_dedupe", sql("hourly", """
+SELECT series_id, ts_ms, min(rate) AS rate FROM hourly GROUP BY 1, 2"""))
+def h01(v: Views):
+    src = _events(v).select("series_id", "ts_ms", "ts", "rate")
+    path = _land(src, "events", 4)
+    stream = st.deduplicated(st.landed_stream(v.spark, path, src.schema, 2),
+                             ["series_id", "ts_ms"], delay="40 days")
+    table = _table(v, src, "dedupe", ["series_id", "ts_ms"])
+    last = st.run_upserts(stream, table, env.scratch_path(v.spark, "cp"), ["rate"])
+    return table.read(last).select("series_id", "ts_ms", "rate")
+
+
+@query("h02_stream_daily_totals", sql("hourly", """
+SELECT series_id, date, date + 1 AS effective_date, round(sum(rate), 6) AS total, count(*) AS n
+FROM hourly GROUP BY 1, 2"""))
+def h02(v: Views):
+    src = v.hourly().select("series_id", F.col("ts").cast("timestamp").alias("ts"), "rate")
+    path = _land(src, "events", 4)
+    totals = st.daily_totals(st.landed_stream(v.spark, path, src.schema, 2), ["series_id"],
+                             delay="40 days")
+    table = _table(v, totals, "totals", ["series_id", "date"])
+    last = st.run_upserts(totals, table, env.scratch_path(v.spark, "cp"), ["n"], mode="update")
+    return table.read(last).select("series_id", "date", "effective_date",
+                                   F.round("total", 6).alias("total"), "n")
+
+
+@query("h03_stream_log_upsert", """
+SELECT CAST(o_orderdate AS DATE) AS as_of, max(o_orderkey) AS generated_at,
+  arg_max(o_orderpriority, o_orderkey) AS fired, arg_max(o_totalprice, o_orderkey) AS vix
+FROM orders GROUP BY 1""")
+def h03(v: Views):
+    """One row per date whatever the number of reruns: the latest run of a date wins, in
+    whichever batch it arrives."""
+    src = v.table("orders").select(
+        F.to_date("o_orderdate").alias("as_of"), F.col("o_orderkey").alias("generated_at"),
+        F.col("o_orderpriority").alias("fired"), F.col("o_totalprice").alias("vix"))
+    path = env.scratch_path(v.spark, "runs")
+    src.repartitionByRange(3, "generated_at").write.parquet(path)
+    stream = st.landed_stream(v.spark, path, src.schema, 1)
+    table = _table(v, src, "log", ["as_of", "generated_at"])
+    last = st.run_upserts(stream, table, env.scratch_path(v.spark, "cp"), ["vix"])
+    return mg.keep_one(table.read(last), ["as_of"], ["generated_at"])
+
+
+@query("h04_stream_snapshots", sql("snapshots", """
+SELECT ticker, date, shares, price FROM snapshots"""))
+def h04(v: Views):
+    """Snapshots keyed by the issuer's own date: late and repeated deliveries of a date
+    replace each other, they never add a second one."""
+    s = v.snapshots().select("ticker", "date", "shares", "price")
+    twice = s.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2)))).drop("copy")
+    path = _land(twice, "snapshots", 3)
+    table = _table(v, s, "snap", ["ticker", "date"])
+    last = st.run_upserts(st.landed_stream(v.spark, path, s.schema, 1), table,
+                          env.scratch_path(v.spark, "cp"), ["shares"])
+    return table.read(last)
+
+
+@query("h08_late_revision", sql("positions", """
+SELECT asset, report_date, CASE WHEN day(report_date) % 2 = 0 THEN net_pct * 2 ELSE net_pct END
+  AS net_pct FROM positions"""))
+def h08(v: Views):
+    """A revised report replaces the published one."""
+    p = v.positions().select("asset", "report_date", "net_pct")
+    fresh = p.filter(F.dayofmonth("report_date") % 2 == 0).withColumn(
+        "net_pct", F.col("net_pct") * 2)
+    return mg.merge_latest(p, fresh, ["asset", "report_date"])

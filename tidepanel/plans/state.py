@@ -25,7 +25,7 @@ class State:
     """Plans of one market state; each reading is one plan over the whole history."""
 
     def __init__(self, views: Views):
-        self.v = views
+        self.v = views.settle()
 
     def _once(self, key, build):
         return self.v._once(f"state:{key}", build)
@@ -90,7 +90,7 @@ class State:
         return inputs
 
     def layers(self) -> DataFrame:
-        bars = self.v.bars_numbered()
+        bars = env.materialise(self.v.bars_numbered(), "numbered")
         bench = self.returns(["SPY"]).select("panel_id", "session",
                                              F.col("SPY").alias("bench_ret"))
         names = bars.select("panel_id", "instrument").distinct()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel import session as env
 from tidepanel.functions import calendar as tc
 from tidepanel.functions import frames as fr
 from tidepanel.operators import sessions as ss
@@ -51,6 +52,17 @@ class Views:
             self._plans[key] = build()
         return self._plans[key]
 
+    def settle(self) -> "Views":
+        """Write the bars once to the shared folder and derive everything else from that
+        table. Plans that use the panel more than once scan the raw tables one time."""
+        def build():
+            bars = env.materialise(self._bars("brand"), "bars")
+            self._plans.update({"bars:brand": bars, "calendar": ss.session_calendar(bars)})
+            self._plans.pop("panel:brand", None)
+            return bars
+        self._once("settled", build)
+        return self
+
     def table(self, name: str) -> DataFrame:
         return self._once(f"table:{name}", lambda: self.spark.read.parquet(
             f"{self.folder}/{name}.parquet"))
@@ -94,7 +106,7 @@ class Views:
         """The panel with every field carried over gaps, for rules that need whole
         windows of prices."""
         fields = ("open", "high", "low", "close", "volume", "factor")
-        return self.panel().withColumns({c: fr.last_valid(c) for c in fields})
+        return self.settle().panel().withColumns({c: fr.last_valid(c) for c in fields})
 
     def bars_numbered(self) -> DataFrame:
         """Bars with their session number, not densified."""
