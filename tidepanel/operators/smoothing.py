@@ -31,54 +31,69 @@ def ewm_means(df: DataFrame, specs: dict[str, tuple[Column | str, float]],
     unchanged but ages it: its weight decays once per session (set ``ignore_gaps`` to
     number only present values). ``fill`` carries the mean over missing inputs.
     """
-    out = df
-    for name, (value, alpha) in specs.items():
-        out = _one_mean(out, name, value, alpha, list(by), number, ignore_gaps, fill)
-    return out
-
-
-def _one_mean(df, name, value, alpha, by, number, ignore_gaps, fill):
-    x = F.col(value) if isinstance(value, str) else value
-    rows = df.withColumn("__x", x.cast("double")).withColumn(
-        "__chunk", F.floor(F.col(number) / _chunk_size(alpha)))
-    # (chunk, number) orders like number, and lets both levels share one sort
+    by = list(by)
+    chunk = min(_chunk_size(alpha) for _, alpha in specs.values())
+    items = list(enumerate(specs.items()))
+    inputs = {f"__x{i}": (F.col(x) if isinstance(x, str) else x).cast("double")
+              for i, (_, (x, _a)) in items}
+    rows = df.withColumns({**inputs, "__chunk": F.floor(F.col(number) / chunk)})
+    # (chunk, number) orders like number, and lets both levels share one sort; every
+    # step below serves all outputs in one pass
     series = Window.partitionBy(*by).orderBy("__chunk", number)
     sofar = series.rowsBetween(Window.unboundedPreceding, 0)
     before = series.rowsBetween(Window.unboundedPreceding, -1)
     cell = Window.partitionBy(*by, "__chunk").orderBy(number)
     inside = cell.rowsBetween(Window.unboundedPreceding, 0)
     after = cell.rowsBetween(1, Window.unboundedFollowing)
-    present = F.col("__x").isNotNull()
-
-    if ignore_gaps:
-        gap = F.when(present & (F.count("__x").over(before) > 0), F.lit(1))
-    else:
-        seen = F.last(F.when(present, F.col(number)), ignorenulls=True).over(before)
-        gap = F.when(present, F.col(number) - seen)
-    rows = rows.withColumn("__gap", gap)
-    # the map of a present row; the seed row discards what it is handed
-    old = F.pow(F.lit(1.0 - alpha), F.col("__gap"))
-    seed = present & F.col("__gap").isNull()
+
+    def x(i: int) -> Column:
+        return F.col(f"__x{i}")
+
+    def has(i: int) -> Column:
+        return x(i).isNotNull()
+
+    def gap(i: int) -> Column:
+        if ignore_gaps:
+            return F.when(has(i) & (F.count(x(i)).over(before) > 0), F.lit(1))
+        seen = F.last(F.when(has(i), F.col(number)), ignorenulls=True).over(before)
+        return F.when(has(i), F.col(number) - seen)
+
     rows = rows.withColumns({
-        "__a": F.when(seed, 0.0).when(present, old / (old + alpha)),
-        "__b": F.when(seed, 1.0).when(present, alpha / (old + alpha)),
-        "__head": present & (F.count("__x").over(inside) == 1),
-        "__end": present & (F.count("__x").over(after) == 0)})
+        **{f"__gap{i}": gap(i) for i, _ in items},
+        **{f"__head{i}": has(i) & (F.count(x(i)).over(inside) == 1) for i, _ in items},
+        **{f"__end{i}": has(i) & (F.count(x(i)).over(after) == 0) for i, _ in items}})
+    # the map of a present row; the seed row discards what it is handed
+    maps = {}
+    for i, (_, (_x, alpha)) in items:
+        old = F.pow(F.lit(1.0 - alpha), F.col(f"__gap{i}"))
+        seed = has(i) & F.col(f"__gap{i}").isNull()
+        maps[f"__a{i}"] = F.when(seed, 0.0).when(has(i), old / (old + alpha))
+        maps[f"__b{i}"] = F.when(seed, 1.0).when(has(i), alpha / (old + alpha))
+    rows = rows.withColumns(maps)
     # products run from the chunk's first present row, whose own factor is kept apart:
     # it may be 0 (seed) or tiny (a long gap)
-    step = F.when(present, F.when(F.col("__head"), 0.0).otherwise(F.ln("__a")))
-    rows = rows.withColumn("__log", F.sum(step).over(inside))
-    part = F.when(present, F.col("__b") * F.col("__x") * F.exp(-F.col("__log")))
-    head_a = F.max(F.when(F.col("__head"), F.col("__a"))).over(inside)
-    rows = rows.withColumns({"A": F.exp("__log") * head_a,
-                             "B": F.exp("__log") * F.sum(part).over(inside)})
-    maps = F.collect_list(F.when(F.col("__end"), F.struct("A", "B"))).over(before)
-    rows = rows.withColumn("__maps", maps)
-    carry = F.aggregate("__maps", F.lit(0.0), lambda y, m: m["A"] * y + m["B"])
-    rows = rows.withColumn(name, F.when(present, F.col("B") + F.col("A") * carry))
+    rows = rows.withColumns({
+        **{f"__log{i}": F.sum(F.when(has(i), F.when(F.col(f"__head{i}"), 0.0).otherwise(
+            F.ln(f"__a{i}")))).over(inside) for i, _ in items},
+        **{f"__first{i}": F.max(F.when(F.col(f"__head{i}"), F.col(f"__a{i}"))).over(inside)
+           for i, _ in items}})
+    rows = rows.withColumns({
+        **{f"__A{i}": F.exp(f"__log{i}") * F.col(f"__first{i}") for i, _ in items},
+        **{f"__B{i}": F.exp(f"__log{i}") * F.sum(F.when(has(i), F.col(f"__b{i}") * x(i) * F.exp(
+            -F.col(f"__log{i}")))).over(inside) for i, _ in items}})
+    rows = rows.withColumns({f"__maps{i}": F.collect_list(F.when(F.col(f"__end{i}"), F.struct(
+        F.col(f"__A{i}").alias("A"), F.col(f"__B{i}").alias("B")))).over(before)
+        for i, _ in items})
+
+    def mean(i: int) -> Column:
+        carry = F.aggregate(f"__maps{i}", F.lit(0.0), lambda y, m: m["A"] * y + m["B"])
+        return F.when(has(i), F.col(f"__B{i}") + F.col(f"__A{i}") * carry)
+
+    names = [name for _, (name, _s) in items]
+    rows = rows.withColumns({name: mean(i) for i, (name, _s) in items})
     if fill:
-        rows = rows.withColumn(name, F.last(name, ignorenulls=True).over(sofar))
-    return rows.select(*df.columns, name)
+        rows = rows.withColumns({n: F.last(n, ignorenulls=True).over(sofar) for n in names})
+    return rows.select(*df.columns, *names)
 
 
 def span_alpha(span: int) -> float:

@@ -254,10 +254,10 @@ def s16(v: Views):
 @query("s17_history_or_empty", sql("positions", """
 SELECT asset, count(*) AS n, round(sum(net_pct), 6) AS total FROM positions GROUP BY 1"""))
 def s17(v: Views):
-    from tidepanel.schemas import POSITIONS
+    from tidepanel.schemas import POSITIONS, names
     root = env.scratch_path(v.spark, "history")
     never = ld.history_or_empty(v.spark, f"{root}/never", POSITIONS)
-    v.positions().select(*POSITIONS.names).write.parquet(f"{root}/stored")
+    v.positions().select(*names(POSITIONS)).write.parquet(f"{root}/stored")
     stored = ld.history_or_empty(v.spark, f"{root}/stored", POSITIONS).unionByName(never)
     return stored.groupBy("asset").agg(F.count("*").alias("n"),
                                        F.round(F.sum("net_pct"), 6).alias("total"))

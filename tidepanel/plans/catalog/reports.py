@@ -18,7 +18,7 @@ from tidepanel.plans.oracle import sql
 from tidepanel.plans.registry import query
 from tidepanel.plans.state import State
 from tidepanel.plans.views import PRIORITY_ASSETS, Views
-from tidepanel.schemas import POSITIONS
+from tidepanel.schemas import POSITIONS, names
 from tidepanel.sources import landing as ld
 from tidepanel.sources import store as st
 from tidepanel.universe import FOCUS, MACRO_FORCE, STORIES
@@ -36,7 +36,7 @@ def k02(v: Views):
     """Three writes, each merged over the last; every version stays readable."""
     root = env.scratch_path(v.spark, "positions")
     keys = ["panel_id", "asset", "report_date"]
-    p = v.positions().select(*POSITIONS.names)
+    p = v.positions().select(*names(POSITIONS))
     cuts = [("1990-01-01", 2), ("1998-01-01", 1), ("1999-01-01", 0)]
     for version, (since, shift) in enumerate(cuts, 1):
         fresh = p.filter(F.col("report_date") >= since).withColumn(
@@ -112,7 +112,7 @@ def _documents(v: Views):
     gates = gates.withColumn("passes", F.col("n_trades") % 2 == 0).withColumn(
         "dsr_ratio", F.when(F.col("n_trades") % 7 != 0, F.col("dsr_ratio")))
     per = halves.groupBy("doc_id", F.col("instrument").alias("symbol"), "horizon").agg(
-        F.round(F.avg("close"), 4).alias("score"), F.round(F.avg("factor"), 6).alias("rank_pct"),
+        F.round(F.sum("close"), 4).alias("score"), F.round(F.max("factor"), 6).alias("rank_pct"),
         F.count("*").cast("int").alias("lean"))
     force = F.create_map(*[F.lit(x) for kv in MACRO_FORCE.items() for x in kv])
     assets = per.groupBy("doc_id", "symbol").agg(
@@ -128,8 +128,8 @@ _DOC = dict(
     g="""SELECT doc_id, horizon, CASE WHEN count(*) % 7 <> 0 THEN round(avg(volume) / 15, 4) END
       AS dsr_ratio, round(avg(factor) - 0.45, 6) AS pbo, count(*) AS n_trades,
       round(max(factor), 6) AS profit_factor, count(*) % 2 = 0 AS stored FROM h GROUP BY 1, 2""",
-    p="""SELECT doc_id, instrument AS symbol, horizon, round(avg(close), 4) AS score,
-      round(avg(factor), 6) AS rank_pct, count(*) AS lean FROM h GROUP BY 1, 2, 3""")
+    p="""SELECT doc_id, instrument AS symbol, horizon, round(sum(close), 4) AS score,
+      round(max(factor), 6) AS rank_pct, count(*) AS lean FROM h GROUP BY 1, 2, 3""")
 
 
 @query("s15_gate_rows", sql("bars", """

@@ -393,14 +393,17 @@ _POOLED = """SELECT p.session, p.instrument, {pos} * p.fwd - 0.001 AS pnl
         FROM grid) p JOIN posday s ON s.asset = p.instrument AND s.session = p.session
   WHERE p.sess_no % 21 = 0 AND p.sess_no < (SELECT count(*) FROM cal) - 21
     AND {pos} <> 0 AND p.fwd IS NOT NULL"""
-_FADE = (F.when(F.col("z156") > 1.5, -1.0).when(F.col("z156") < -1.5, 1.0).otherwise(0.0))
+
+
+def _fade():
+    return F.when(F.col("z156") > 1.5, -1.0).when(F.col("z156") < -1.5, 1.0).otherwise(0.0)
 
 
 @query("b15_extreme_fade", sql("grid posday", """
 SELECT session, round(avg(pnl), 6) AS pnl FROM legs GROUP BY 1""",
     legs=_POOLED.format(pos=_POS["z156"])))
 def b15_fade(v: Views):
-    return out(stg.pool(stg.pooled_positions(v.panel(), _position_signals(v), _FADE)))
+    return out(stg.pool(stg.pooled_positions(v.panel(), _position_signals(v), _fade())))
 
 
 @query("b15_flow_momentum", sql("grid posday", """

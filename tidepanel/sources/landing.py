@@ -235,7 +235,7 @@ def prefer_source(candidates: Sequence[tuple[str, DataFrame]], keys: Sequence[st
     return keep_one(union, keys, ["__rank"], last=False).drop("__rank")
 
 
-def history_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def history_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A stored history, or an empty frame of its schema when it was never written."""
     try:
         return spark.read.schema(schema).parquet(path)

@@ -38,7 +38,7 @@ def read_bars(spark: SparkSession, path: str, instruments: Sequence[str] = (),
 
 
 def update_history(spark: SparkSession, root: str, version: int, fresh: DataFrame,
-                   keys: Sequence[str], schema: StructType) -> DataFrame:
+                   keys: Sequence[str], schema: StructType | str) -> DataFrame:
     """Merge fresh rows over version-1 and write the next version beside it: readers of
     the old version are never torn, and a failed write leaves it in place."""
     stored = history_or_empty(spark, f"{root}/v={version - 1}", schema)
