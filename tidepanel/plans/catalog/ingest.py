@@ -8,6 +8,7 @@ from tidepanel import session as env
 from tidepanel.functions import calendar as tc
 from tidepanel.functions import frames as fr
 from tidepanel.functions import scalars as sc
+from tidepanel.functions import tables
 from tidepanel.operators import merge as mg
 from tidepanel.operators import sessions as ss
 from tidepanel.plans.oracle import sql
@@ -552,6 +553,19 @@ def t04(v: Views):
     return tc.business_calendar(spans, "lo", "hi")
 
 
+@query("v04_calendar_table", sql("bars", """
+SELECT instrument, count(*) AS n FROM (SELECT instrument, CAST(unnest(generate_series(
+  min(session), max(session), INTERVAL 1 DAY)) AS DATE) AS d FROM bars GROUP BY 1)
+WHERE isodow(d) <= 5 GROUP BY 1"""))
+def v04(v: Views):
+    """The same calendar as a SQL table function, joined laterally to each span."""
+    tables.register(v.spark)
+    spans = v.bars().groupBy("instrument").agg(F.min("session").alias("lo"),
+                                               F.max("session").alias("hi"))
+    return v.spark.sql("SELECT instrument, count(*) AS n FROM {spans}, "
+                       "LATERAL business_days(lo, hi) GROUP BY instrument", spans=spans)
+
+
 @query("t05_first_fridays", sql("cal", """
 SELECT DISTINCT m + CAST((12 - isodow(m)) % 7 AS INT) AS first_friday
 FROM (SELECT CAST(date_trunc('month', session) AS DATE) AS m FROM cal)"""))

@@ -501,6 +501,27 @@ def b16(v: Views):
                                                             "pf_recent")], "verdict")
 
 
+@query("b16_battery_replication")
+def b16_battery(v: Views):
+    """Every rule of the single-asset and pooled batteries, early sample against recent."""
+    scored = env.materialise(stg.section_scores(v.carried()), "scores")
+    wide = env.materialise(v.wide(WIDE, carried=True), "wide")
+    absorbed = env.materialise(mx.absorption_before(_vectors(v)), "absorption")
+    rules = [("H07_vrp_spy", stg.premium_filter(wide)),
+             ("H08_absorption_shift", stg.absorption_switch(wide, absorbed)),
+             *stg.leader_rules(wide), ("H13_turn_of_month", stg.month_turn(wide)),
+             ("W03_vol_managed_spy", stg.managed_weight(wide)),
+             ("W04_faber_sma", stg.above_average(scored)),
+             ("W09_halloween", stg.winter_rule(wide))]
+    pnls = env.materialise(stg.stack([stg.named(d, n) for n, d in rules]), "pnls")
+    cut = F.lit("1998-12-31").cast("date")
+    deep = stg.summarise_pnls(pnls.filter(F.col("session") <= cut), ["strategy"])
+    recent = stg.summarise_pnls(pnls.filter(F.col("session") > cut), ["strategy"])
+    return stg.replication(deep, recent).select(
+        "strategy", "n", *[F.round(c, 6).alias(c) for c in ("mean_pnl", "hit", "profit_factor",
+                                                            "pf_recent")], "verdict")
+
+
 @query("b17_conditional_split", sql("bars cal", """
 SELECT half, count(*) FILTER (c) AS n_on, count(*) FILTER (NOT c) AS n_off,
   round(avg(fwd) FILTER (c), 6) AS mean_on, round(avg(fwd) FILTER (NOT c), 6) AS mean_off,

@@ -61,7 +61,8 @@ def export_summary(scores: DataFrame) -> DataFrame:
 
 def with_staleness(states: DataFrame, now, limit_days: int) -> DataFrame:
     """Age in days at read time; an unreadable stamp is stale."""
-    stamp = F.to_timestamp("as_of")
-    age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(stamp)) / 86400e6
+    # zone-less on both sides: an age never depends on the session zone
+    stamp = F.col("as_of").try_cast("timestamp_ntz")
+    age = F.timestamp_diff("MICROSECOND", stamp, F.lit(now).cast("timestamp_ntz")) / 86400e6
     return (states.withColumn("age_days", F.round(age, 1))
                   .withColumn("stale", F.coalesce(age > limit_days, F.lit(True))))
