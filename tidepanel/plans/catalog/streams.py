@@ -19,7 +19,8 @@ def _land(df, label: str, files: int):
 
 
 def _events(v: Views):
-    e = v.hourly()
+    # an instant, whatever the session zone: watermarks need one
+    e = v.hourly().withColumn("ts", F.timestamp_millis("ts_ms"))
     # every fifth event is delivered twice
     copies = F.when(F.col("ts_ms") % 5 == 0, 2).otherwise(1)
     return e.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")
@@ -45,7 +46,7 @@ def h01(v: Views):
 SELECT series_id, date, date + 1 AS effective_date, round(sum(rate), 6) AS total, count(*) AS n
 FROM hourly GROUP BY 1, 2"""))
 def h02(v: Views):
-    src = v.hourly().select("series_id", "ts", "rate")
+    src = v.hourly().select("series_id", F.timestamp_millis("ts_ms").alias("ts"), "rate")
     path = _land(src, "events", 4)
     totals = st.daily_totals(st.landed_stream(v.spark, path, src.schema, 2), ["series_id"],
                              delay="40 days")

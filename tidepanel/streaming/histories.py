@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidepanel.functions.calendar import epoch_date
 from tidepanel.operators.merge import keep_one, merge_latest
 from tidepanel.sources.landing import history_or_empty
 
@@ -33,12 +34,13 @@ def deduplicated(stream: DataFrame, keys: Sequence[str], event_time: str = "ts",
 
 def daily_totals(stream: DataFrame, by: Sequence[str], event_time: str = "ts",
                  value: str = "rate", delay: str = "2 days") -> DataFrame:
-    """Tumbling daily sums. A day is usable from the end of its window."""
+    """Tumbling sums of UTC days. A day is usable from the end of its window."""
     day = F.window(event_time, "1 day")
     return (stream.withWatermark(event_time, delay).groupBy(*by, day)
             .agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
-            .select(*by, F.to_date("window.start").alias("date"),
-                    F.to_date("window.end").alias("effective_date"), "total", "n"))
+            .select(*by, epoch_date(F.unix_seconds("window.start")).alias("date"),
+                    epoch_date(F.unix_seconds("window.end")).alias("effective_date"),
+                    "total", "n"))
 
 
 class VersionedTable:
