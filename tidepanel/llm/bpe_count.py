@@ -2,11 +2,12 @@
 
 A pre-token's count is its initial symbols less the merges done; identifiers are
 never formed. Counts of white-space-free chunks are kept in a bounded map per
-task, so the merging itself runs once for each new chunk.
+worker, so the merging itself runs once for each new chunk.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import unicodedata
@@ -17,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.shared import slices
+from tidepanel.llm.shared import Kept, slices
 
 #: Chunks whose counts a task keeps before it starts anew; a limit on memory only.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 800_000
 LIMIT = 2048
 
 
@@ -44,9 +45,10 @@ class MergeCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
-        self.vocabulary = frozenset(model["vocab"])
+        ids = self.ids = model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.ranks = {ids[a] << 32 | ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [ids[a + b] for a, b in pairs]
         self.suffix = model["end_of_word_suffix"] or ""
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
@@ -55,56 +57,56 @@ class MergeCounter:
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.space = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
         self.odd = regex.compile(r"[\x1c-\x1f]")
-        self.kept: dict[str, int] = {}
+        self.kept = Kept(self.chunk, KEPT_CHUNKS)
 
-    def merged(self, symbols: list[str]) -> int:
-        """Symbols left after all merges, the lowest rank and then the leftmost first."""
+    def merged(self, symbols: list[int]) -> int:
+        """Symbols left after all merges, the lowest rank and then the leftmost first.
+
+        A heap entry is a rank and a place; it is out of date where the symbol
+        there and the next one no longer make that rank's pair.
+        """
         size = len(symbols)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        ranks, left = self.ranks, size
-        heap = [(rank, i, symbols[i], symbols[i + 1]) for i in range(size - 1)
-                if (rank := ranks.get((symbols[i], symbols[i + 1]))) is not None]
+        rank_of, made, left, low = self.ranks.get, self.made, size, (1 << 32) - 1
+        heap = [rank << 32 | i for i in range(size - 1)
+                if (rank := rank_of(symbols[i] << 32 | symbols[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, first, second = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            i = entry & low
             j = after[i]
-            if symbols[i] != first or j >= size or symbols[j] != second:
+            if j >= size or symbols[i] < 0 or rank_of(symbols[i] << 32 | symbols[j]) != entry >> 32:
                 continue
-            symbols[i], symbols[j] = first + second, ""
-            after[i] = after[j]
-            if after[i] < size:
-                before[after[i]] = i
+            symbols[i], symbols[j] = made[entry >> 32], -1
+            k = after[i] = after[j]
             left -= 1
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < size:
-                    rank = ranks.get((symbols[a], symbols[b]))
-                    if rank is not None:
-                        heapq.heappush(heap, (rank, a, symbols[a], symbols[b]))
+            if k < size:
+                before[k] = i
+                rank = rank_of(symbols[i] << 32 | symbols[k])
+                if rank is not None:
+                    heapq.heappush(heap, rank << 32 | i)
+            k = before[i]
+            if k >= 0:
+                rank = rank_of(symbols[k] << 32 | symbols[i])
+                if rank is not None:
+                    heapq.heappush(heap, rank << 32 | k)
         return left
 
     def chunk(self, chunk: str) -> int:
         """Tokens of text without white space."""
-        plain = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
-        total = 0
+        if chunk.isascii():
+            plain = chunk.lower()
+        else:
+            plain = "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
+        total, ids = 0, self.ids
         for word in self.pattern.findall(plain):
             symbols = [self.symbols[b] for b in word.encode()]
             symbols[-1] += self.suffix
-            total += self.merged([s for s in symbols if s in self.vocabulary])
+            total += self.merged([ids[s] for s in symbols if s in ids])
         return total
 
     def plain(self, text: str) -> int:
-        chunks = self.space.split(text) if self.odd.search(text) else text.split()
-        kept, total = self.kept, 0
-        for c in chunks:
-            n = kept.get(c)
-            if n is None:
-                if len(kept) >= KEPT_CHUNKS:
-                    kept.clear()
-                n = self.chunk(c)
-                if len(c) <= 256:
-                    kept[c] = n
-            total += n
-        return total
+        return sum(self.kept.all(self.space.split(text) if self.odd.search(text) else text.split()))
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -115,6 +117,12 @@ class MergeCounter:
         return len(parts) - 1 + sum(map(self.plain, parts))
 
 
+@functools.cache
+def counter(path: str) -> MergeCounter:
+    """One for each vocabulary in a worker; its map serves the worker's later tasks too."""
+    return MergeCounter(path)
+
+
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id",
                  limit: int = LIMIT) -> DataFrame:
     """key, n_bytes, n_tokens and over_limit of each row's whole text.
@@ -127,10 +135,10 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", key: str
                        F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = MergeCounter(vocabulary)
+        count = counter(vocabulary).count
         for whole in batches:
             for batch in slices(whole):
-                counts = pa.array([counter.count(t) for t in batch.column(2).to_pylist()], pa.int64())
+                counts = pa.array([count(t) for t in batch.column(2).to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts],
                                                  names=[key, "n_bytes", "n_tokens"])
 

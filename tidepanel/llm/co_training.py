@@ -2,7 +2,8 @@
 
 Two views of a document: its content (hashed character n-grams) and its page
 metadata (source, language, length and layout: lines, word lengths, repetition,
-shares of capitals, digits and signs). Each view has a naive Bayes classifier.
+shares of capitals, digits and signs). The content has a naive Bayes classifier;
+the metadata, whose features depend on each other, a logistic regression.
 In each round either view labels the documents of an unlabelled pool that it is
 surest of, for both to learn from. The views are then calibrated on labelled documents that
 no round learned from, and their log-odds added up to score all documents.
@@ -32,12 +33,13 @@ CALIBRATION = 0.3
 THRESHOLD = 0.5
 #: Bins of each metadata feature, features of it, and weight of a text's n-grams as of so many words.
 BINS, FEATURES, EVIDENCE = 24, 12, 30.0
+RIDGE = 1.0
 
 
 @dataclass
 class QualityModel:
     content: np.ndarray     # log ratio of each n-gram bucket
-    metadata: np.ndarray    # log ratio of each metadata bin
+    metadata: np.ndarray    # log-odds of each metadata bin
     scale: np.ndarray       # calibration: slope and shift of either view
     prior: float            # log-odds of quality in the labelled sample
 
@@ -97,30 +99,41 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return content.astype(np.float32), bins
 
 
-def _log_ratios(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Naive Bayes of either view from rows with ``label``: each task sends one row of sums per class."""
-    wide = GRAMS + FEATURES * BINS
-
+def _content_ratios(rows: DataFrame) -> np.ndarray:
+    """Naive Bayes log ratios from rows with ``label``: each task sends one row of sums per class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, wide))
+        sums = np.zeros((2, GRAMS))
         for batch in batches:
-            content, bins = _arrays(batch)
+            content, _ = _arrays(batch)
             label = batch.column("label").to_numpy()
             for c in (0, 1):
-                sums[c, :GRAMS] += content[label == c].sum(axis=0)
-                sums[c, GRAMS:] += np.bincount(bins[label == c].ravel(), minlength=FEATURES * BINS)
+                sums[c] += content[label == c].sum(axis=0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat([0, 1], wide), pa.int32()), pa.array(np.tile(np.arange(wide), 2), pa.int32()),
+            [pa.array(np.repeat([0, 1], GRAMS), pa.int32()), pa.array(np.tile(np.arange(GRAMS), 2), pa.int32()),
              pa.array(sums.ravel())], names=["class", "place", "n"])
 
     found = (rows.mapInArrow(run, "class int, place int, n double")
              .groupBy("class", "place").agg(F.sum("n").alias("n")).toPandas())
-    sums = np.zeros((2, wide))
+    sums = np.zeros((2, GRAMS))
     sums[found["class"], found["place"]] = found["n"]
-    content, bins = sums[:, :GRAMS] + 1e-3, sums[:, GRAMS:].reshape(2, FEATURES, BINS) + 1.0
+    content = sums + 1e-3
     content /= content.sum(axis=1, keepdims=True)
-    bins /= bins.sum(axis=2, keepdims=True)
-    return np.log(content[1] / content[0]), np.log(bins[1] / bins[0]).ravel()
+    return np.log(content[1] / content[0])
+
+
+def _metadata_odds(rows: DataFrame) -> np.ndarray:
+    """Log-odds of each bin by a ridge logistic regression on the drawn documents' bins (a bounded table)."""
+    told = rows.select("metadata", "label").toPandas()
+    bins = np.frombuffer(b"".join(told["metadata"]), np.int32).reshape(-1, FEATURES)
+    label = told["label"].to_numpy(float)
+    x = np.zeros((len(bins), FEATURES * BINS))
+    np.put_along_axis(x, bins.astype(np.int64), 1.0, axis=1)
+    beta = np.zeros(x.shape[1])
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        hessian = x.T @ (x * (p * (1 - p))[:, None]) + RIDGE * np.eye(len(beta))
+        beta -= np.linalg.solve(hessian, x.T @ (p - label) + RIDGE * beta)
+    return beta
 
 
 def _scored(rows: DataFrame, content: np.ndarray, metadata: np.ndarray) -> DataFrame:
@@ -179,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     pseudo: dict[int, int] = {}
     for step in range(rounds + 1):
         told = table.withColumn("label", _given(pseudo, own)).where("label IS NOT NULL")
-        content, metadata = _log_ratios(told)
+        content, metadata = _content_ratios(told), _metadata_odds(told)
         scores = materialise(_scored(table, content, metadata), "scores")
         if step == rounds or not free_rows:
             break

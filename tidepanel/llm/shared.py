@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,41 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
+class Kept:
+    """Answers of a pure function for recent strings, in bounded memory.
+
+    Two generations: when the young one is full it becomes the old one, whose
+    entries come back as they are asked for again, so common strings stay.
+    """
+
+    def __init__(self, compute: Callable[[str], Any], most: int, longest: int = 64) -> None:
+        self.young: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
+        self.compute, self.most, self.longest = compute, most // 2, longest
+
+    def miss(self, key: str) -> Any:
+        """The answer for a key that ``young`` lacks."""
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > self.longest:
+                return value
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+        return value
+
+    def all(self, keys: list[str]) -> list[Any]:
+        get, miss, out = self.young.get, self.miss, []
+        for key in keys:
+            value = get(key)
+            if value is None:
+                value = miss(key)
+                get = self.young.get
+            out.append(value)
+        return out
+
+
 _CLASSES: np.ndarray | None = None
 
 

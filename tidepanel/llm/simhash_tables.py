@@ -24,8 +24,8 @@ RADIUS, BLOCK_BITS = 6, 16
 BUCKET_ROWS = 4096
 
 
-def term_hashes(words: list[bytes], size: int = TERM_WORDS) -> np.ndarray:
-    """The 128-bit hash (n x 16 bytes) of each run of ``size`` words; fewer words make one term."""
+def run_hashes(words: list[bytes], size: int = TERM_WORDS) -> np.ndarray:
+    """The 128-bit hash (n x 16 bytes) of each run of ``size`` words; fewer words make one run."""
     if not words:
         return np.zeros((0, 16), np.uint8)
     joined = b" ".join(words)
@@ -39,18 +39,26 @@ def term_hashes(words: list[bytes], size: int = TERM_WORDS) -> np.ndarray:
                          np.uint8).reshape(-1, 16)
 
 
-def vote(hashes: np.ndarray) -> bytes:
+def term_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's terms: its runs of five words, and its single words (what short texts keep)."""
+    digest = xxhash.xxh3_128_digest
+    singles = np.frombuffer(b"".join([digest(w, 0) for w in words]), np.uint8).reshape(-1, 16)
+    return run_hashes(words), singles
+
+
+def vote(terms: tuple[np.ndarray, np.ndarray]) -> bytes:
     """Signed votes of the distinct terms, each with weight 1 + ln(its count); no term: zeros."""
-    if not len(hashes):
+    if not len(terms[0]):
         return bytes(BITS // 8)
-    _, first, counts = np.unique(np.ascontiguousarray(hashes[:, :8]).view(np.uint64).ravel(),
-                                 return_index=True, return_counts=True)
-    weights = (1 + np.log(counts)).astype(np.float32)
     votes = np.zeros(BITS)
-    for k in range(0, len(first), 1 << 14):
-        part = slice(k, k + (1 << 14))
-        bits = np.unpackbits(hashes[first[part]], axis=1).astype(np.float32)
-        votes += 2.0 * (weights[part] @ bits) - weights[part].sum()
+    for hashes in terms:
+        _, first, counts = np.unique(np.ascontiguousarray(hashes[:, :8]).view(np.uint64).ravel(),
+                                     return_index=True, return_counts=True)
+        weights = (1 + np.log(counts)).astype(np.float32)
+        for k in range(0, len(first), 1 << 14):
+            part = slice(k, k + (1 << 14))
+            bits = np.unpackbits(hashes[first[part]], axis=1).astype(np.float32)
+            votes += 2.0 * (weights[part] @ bits) - weights[part].sum()
     return np.packbits(votes > 0).tobytes()
 
 
@@ -65,14 +73,15 @@ def edit(text: str, following: str) -> str:
     return text[:len(text) - n] + following[:n]
 
 
-def edited_hashes(own: np.ndarray, text: str, edited: str) -> np.ndarray:
+def edited_hashes(own: tuple[np.ndarray, np.ndarray], text: str,
+                  edited: str) -> tuple[np.ndarray, np.ndarray]:
     """Term hashes of the edited text; those before the edit are taken from the text's ``own``."""
     new = edited.encode().lower().split()
     kept = len(text) - len(text) // 3
     same = len(text[:kept].encode().split()) - TERM_WORDS
-    if same <= 0 or len(own) <= same or len(new) <= TERM_WORDS:
+    if same <= 0 or len(own[0]) <= same or len(new) <= TERM_WORDS:
         return term_hashes(new)
-    return np.concatenate((own[:same], term_hashes(new[same:])))
+    return tuple(np.concatenate((a[:same], b)) for a, b in zip(own, term_hashes(new[same:])))
 
 
 def with_following(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,43 +10,56 @@ place by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.shared import slices
+from tidepanel.llm.bpe_count import byte_symbols
+from tidepanel.llm.shared import Kept, slices
 from tidepanel.session import materialise
 
 CAPACITY = 1024
 END_ID = 0
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 800_000
+#: Fixed value: the split of the public byte-level pre-tokenizer.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class IdBytes:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
     Texts are cut before each space that a non-space follows, where the
-    byte-level pre-tokenizer always cuts too; chunks go to the ``tokenizers``
-    library once and are kept in a bounded map. A text that holds an added
-    token's string goes to the library whole.
+    byte-level pre-tokenizer always cuts too, and chunks' ids are kept in a
+    bounded map. New chunks are merged by ``tiktoken`` on the ranks that the
+    vocabulary file lists, which is faster than the file's own library and gives the same ids where ids
+    are in merge order (checked here; else that library does it). A text that
+    holds an added token's string goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.odd = regex.compile(r" (?!\S)")
-        self.cuts = regex.compile(r"(?= \S)")
-        self.kept: dict[str, bytes] = {}
+        self.odd = re.compile(r" (?!\S)")
+        self.cuts = re.compile(r"(?= \S)")
+        self.ranked = ranked_encoding(path)
+        self.kept = Kept(self.chunk, KEPT_CHUNKS)
 
     def whole(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def chunk(self, text: str) -> bytes:
+        if self.ranked is None:
+            return self.whole(text)
+        return array("I", self.ranked.encode_ordinary(text)).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -56,19 +69,34 @@ class IdBytes:
         if self.odd.search(text):
             chunks = self.cuts.split(text)
         else:
-            first, *others = text.split(" ")
-            chunks = [first, *[" " + c for c in others]]
-        kept, out = self.kept, []
-        for c in chunks:
-            ids = kept.get(c)
-            if ids is None:
-                ids = self.whole(c) if c else b""
-                if len(kept) >= KEPT_CHUNKS:
-                    kept.clear()
-                if len(c) <= 256:
-                    kept[c] = ids
-            out.append(ids)
-        return b"".join(out)
+            chunks = text.split(" ")
+            chunks[1:] = [" " + c for c in chunks[1:]]
+        return b"".join(self.kept.all(chunks))
+
+
+def ranked_encoding(path: str):
+    """The vocabulary file's byte-level merges for ``tiktoken``; None if its ids aren't in merge order."""
+    import tiktoken
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cutter = spec["model"], spec["pre_tokenizer"]
+    byte_of = {c: b for b, c in enumerate(byte_symbols())}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = model["vocab"]
+    made = [ids[a + b] for a, b in pairs]
+    plain = (cutter["type"] == "ByteLevel" and cutter["use_regex"] and not cutter["add_prefix_space"]
+             and spec["normalizer"] is None and not model["ignore_merges"]
+             and len(ids) == len(made) + 256 and made == sorted(made))
+    if not plain:
+        return None
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in ids.items()}
+    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@functools.cache
+def encoder(path: str) -> IdBytes:
+    """One for each vocabulary in a worker; its map serves the worker's later tasks too."""
+    return IdBytes(path)
 
 
 def pieces(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id",
@@ -77,7 +105,7 @@ def pieces(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
     kind = dict(docs.select(key).dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = IdBytes(vocabulary)
+        ids = encoder(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
         for whole in batches:
             for batch in slices(whole):
