@@ -12,6 +12,8 @@ from tidepanel.session import materialise
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A target stops at so many times its source's size.
 MOST_EPOCHS = 3
+#: Share of a source by which rounding may leave a target below whole epochs.
+ROUNDING = 1e-9
 #: Slices of a source's key range; only the slice with the budget's end is sorted.
 KEY_SLICES = 1024
 #: Most sources whose targets are sent to every task; more are joined by a shuffle.
@@ -86,8 +88,8 @@ def budgets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = M
     slices = materialise(rows.groupBy("source", "__slice").agg(F.sum("__size").alias("size")), "slices")
     plan = targets(slices.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     size = F.nullif(F.col("source_size"), F.lit(0))
-    plan = plan.withColumn("epochs", F.coalesce(F.floor(F.col("target") / size), F.lit(0)).cast("int"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = plan.withColumn("epochs", F.coalesce(F.floor(F.col("target") / size + ROUNDING), F.lit(0)).cast("int"))
+    plan = plan.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
     plan = materialise(plan, "targets")
     same = plan.source.eqNullSafe(slices.source)
     running = Window.partitionBy("source").orderBy("__slice")
@@ -98,12 +100,15 @@ def budgets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = M
     last = Window.partitionBy("s").orderBy("__place")
     tail = (rows.select("source", "__slice", "__size", "__place")
             .join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("__slice") == F.col("end_slice")))
-            .withColumn("start", F.col("before") + F.sum("__size").over(last) - F.col("__size")))
-    reach = F.col("start") + F.col("__size") / (2.0 if whole_documents else 1.0)
+            .groupBy("s", "end_slice", "before", "rest", "__place")
+            .agg(F.sum("__size").alias("size"), F.count("*").alias("n"))
+            .withColumn("start", F.col("before") + F.sum("size").over(last) - F.col("size")))
+    reach = F.col("start") + F.col("size") / (2.0 if whole_documents else 1.0)
+    words = F.greatest(F.lit(0.0), F.col("rest") - F.col("start")) / F.col("n")
     closing = tail.groupBy("s", "end_slice").agg(
         F.max(F.when(reach <= F.col("rest"), F.col("__place"))).alias("end_place"),
         F.min(F.when(reach > F.col("rest"), F.struct(
-            F.col("__place").alias("place"), (F.col("rest") - F.col("start")).alias("words")))).alias("cut"))
+            F.col("__place").alias("place"), words.alias("words")))).alias("cut"))
     return (plan.join(closing, F.col("source").eqNullSafe(F.col("s")), "left")
             .select("source", "source_size", "target", "epochs", "end_slice", "end_place", "cut"))
 
@@ -176,13 +181,15 @@ l AS (SELECT *, ((SELECT sum(source_size) FROM f)::DOUBLE - coalesce(sum(full_si
       FROM f WINDOW p AS (ORDER BY fill, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(full_size,
         (SELECT lev FROM l WHERE lev <= fill ORDER BY fill, n LIMIT 1) * weight) AS target FROM l),
-r AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS epochs FROM t),
-c AS (SELECT k.doc_id, k.size, r.source_size, r.target, r.epochs, r.target - r.epochs * r.source_size AS rest,
+r AS (SELECT *, coalesce(floor(target / nullif(source_size, 0) + 1e-9::DOUBLE), 0) AS epochs FROM t),
+c AS (SELECT k.doc_id, k.size, r.source_size, r.target, r.epochs, greatest(0, r.target - r.epochs * r.source_size) AS rest,
         sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id,
-                          CASE WHEN none THEN '' ELSE md5(body) END) AS upto
-      FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source)
+                          CASE WHEN none THEN '' ELSE md5(body) END) AS upto,
+        sum(k.size) OVER p AS at_place, count(*) OVER p AS n
+      FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source
+      WINDOW p AS (PARTITION BY k.source, k.key, k.doc_id, CASE WHEN none THEN '' ELSE md5(body) END))
 SELECT doc_id, size, source_size, target,
   CAST(epochs * size + CASE WHEN upto <= rest THEN size
-       WHEN upto - size <= rest THEN round_even(rest - (upto - size), 0) ELSE 0 END AS BIGINT) AS taken
+       WHEN upto - at_place <= rest THEN round((rest - (upto - at_place)) / n) ELSE 0 END AS BIGINT) AS taken
 FROM c
 """
