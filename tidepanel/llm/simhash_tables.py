@@ -97,7 +97,7 @@ def with_following(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = rows.select(F.col("key").cast("double").alias("at")).where("at IS NOT NULL")
     cuts = ids.approxQuantile("at", [i / (8 * tasks) for i in range(1, 8 * tasks)], 0.002 / 8)
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *sorted({*cuts, 0.0}), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="at", outputCol="range").transform(
         rows.withColumn("at", F.coalesce(F.col("key").cast("double"), F.lit(0.0))))
     rows = rows.select("key", "text", F.when(F.col("key").isNull(), -1).otherwise(

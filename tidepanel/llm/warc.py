@@ -94,7 +94,7 @@ class WarcReader(DataSourceReader):
                 room = PARTITION_BYTES
             groups[-1].append(name)
             room -= size
-        return [Files(g) for g in groups]
+        return [Files(g) for g in groups] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = _open(self.path)
