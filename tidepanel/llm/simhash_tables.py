@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.ml.feature import Bucketizer
@@ -185,18 +184,37 @@ def block_table_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     small = rows.join(large, "first", "left_anti").withColumn("second", F.lit(-1).cast("long"))
     split = rows.join(large, "first").withColumn(
         "second", F.explode(F.filter("blocks", lambda x: x != F.col("first"))))
-    columns = ["node", "hi", "lo", "first", "second"]
-
-    def star(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values("node")
-        prints = bucket[["hi", "lo"]].to_numpy(np.int64).view(np.uint64)
-        roots = near_roots(prints, radius)
-        moved = roots != np.arange(len(roots))
-        nodes = bucket["node"].to_numpy()
-        return pd.DataFrame({"a": nodes[moved], "b": nodes[roots[moved]]})
-
-    return (small.select(columns).unionByName(split.select(columns)).groupBy("first", "second")
-            .applyInPandas(star, "a bigint, b bigint"))
+    columns = ["first", "second", "node", "hi", "lo"]
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows of many buckets; a bucket that a batch cuts waits for its rest."""
+        held = np.empty((0, len(columns)), np.int64)
+
+        def links(rows: np.ndarray) -> pa.RecordBatch:
+            new = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+            starts, stops = np.append(0, new), np.append(new, len(rows))
+            found: list[np.ndarray] = []
+            for k in np.flatnonzero(stops - starts > 1):
+                bucket = rows[starts[k]:stops[k]]
+                roots = near_roots(np.ascontiguousarray(bucket[:, 3:]).view(np.uint64), radius)
+                moved = roots != np.arange(len(roots))
+                if moved.any():
+                    found.append(np.column_stack((bucket[moved, 2], bucket[roots[moved], 2])))
+            pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            rows = np.column_stack([c.to_numpy() for c in batch.columns])
+            rows = np.concatenate((held, rows))
+            last = (rows[:, :2] == rows[-1, :2]).all(axis=1) if len(rows) else np.empty(0, bool)
+            held = rows[last]
+            if not last.all():
+                yield links(rows[~last])
+        if len(held):
+            yield links(held)
+
+    dealt = small.select(columns).unionByName(split.select(columns)).repartition("first", "second")
+    return dealt.sortWithinPartitions("first", "second", "node").mapInArrow(star, "a bigint, b bigint")
 
 
 def near_classes(prints: DataFrame, fingerprint: str = "fingerprint", key: str = "doc_id") -> DataFrame:
