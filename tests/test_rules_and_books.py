@@ -147,21 +147,43 @@ def test_folds_are_purged(spark):
             assert f["train_end"] - 1 + h < f["score_from"]
 
 
-def test_stream_equals_batch_with_duplicates(spark, tmp_path):
-    rows = [("a", i, dt.datetime(2024, 1, 1 + i // 24, i % 24), 1.0) for i in range(72)]
-    df = spark.createDataFrame(rows + rows[:10],
+def _hours(spark, days, path, files=6):
+    """An event an hour, every tenth twice, in files that follow no order of time."""
+    rows = [("a", i * 3600000, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 1.0)
+            for i in range(24 * days)]
+    df = spark.createDataFrame(rows + rows[::10],
                                "series_id string, ts_ms bigint, ts timestamp, rate double")
-    df.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = st.landed_stream(spark, str(tmp_path / "in"), df.schema, 1)
-    table = st.VersionedTable(spark, str(tmp_path / "t"), df.schema, ["series_id", "ts_ms"])
-    last = st.run_upserts(st.deduplicated(stream, ["series_id", "ts_ms"], delay="30 days"), table,
-                          str(tmp_path / "cp"))
-    assert table.read(last).count() == 72
-    totals = st.daily_totals(st.landed_stream(spark, str(tmp_path / "in"), df.schema, 1),
-                             ["series_id"], delay="30 days")
-    t2 = st.VersionedTable(spark, str(tmp_path / "t2"), totals.schema, ["series_id", "date"])
-    last = st.run_upserts(totals, t2, str(tmp_path / "cp2"), mode="update")
-    assert {(r.date.day, r.n) for r in t2.read(last).collect()} == {(1, 34), (2, 24), (3, 24)}
+    df.repartition(files).write.parquet(path)
+    return df.schema
+
+
+def test_streams_lose_no_late_or_repeated_row(spark, tmp_path):
+    day = F.expr("ts_ms div 86400000")
+    schema = _hours(spark, 120, str(tmp_path / "in"))
+    events = st.KeyedTable(spark, str(tmp_path / "e"), schema, ["series_id", "ts_ms"], day)
+    out = st.daily_totals(spark.createDataFrame([], schema), ["series_id"]).schema
+    totals = st.KeyedTable(spark, str(tmp_path / "t"), out, ["series_id", "date"], F.col("date"))
+    for _ in range(2):  # the second drain finds nothing new and changes nothing
+        stream = st.landed_stream(spark, str(tmp_path / "in"), schema, 1)
+        assert st.run_daily_totals(stream, events, totals, ["series_id"], str(tmp_path / "cp")) == 6
+        assert events.read().count() == 24 * 120
+        assert [(r.n, r.total) for r in totals.read().select("n", "total").distinct().collect()] == [(24, 24.0)]
+        assert totals.read().count() == 120
+
+
+def test_older_run_in_a_later_batch_does_not_win(spark, tmp_path):
+    schema = "as_of int, run int, v string"
+    frame = spark.createDataFrame([], schema)
+    table = st.KeyedTable(spark, str(tmp_path / "t"), frame.schema, ["as_of"], F.col("as_of") % 2, ["run"])
+    assert table.read().count() == 0 and table.newest() == 0
+    table.upsert(spark.createDataFrame([(1, 5, "new"), (2, 1, "x")], schema), 1)
+    table.upsert(spark.createDataFrame([(1, 3, "old"), (3, 1, "y")], schema), 2)
+    table.upsert(spark.createDataFrame([(1, 3, "old"), (3, 1, "y")], schema), 2)
+    assert sorted(map(tuple, table.read().collect())) == [(1, 5, "new"), (2, 1, "x"), (3, 1, "y")]
+    import shutil
+    shutil.rmtree(tmp_path / "t" / "v=1")
+    with pytest.raises(FileNotFoundError):
+        table.read()
 
 
 def test_registry_loads_without_a_session():

@@ -116,7 +116,10 @@ def entry_prices(reports: DataFrame, prices: DataFrame, calendar: DataFrame,
           for name, n in horizons.items()],
         (F.col("close") / F.lag("close", 5).over(w) - 1).alias("prev_1w"))
     cal = calendar.select(panel, "session", F.col("session").alias("entry_date"))
-    dated = asof_forward(reports, cal, [panel], "effective_date", "session", ["entry_date"])
+    dates = asof_forward(reports.select(panel, "effective_date").distinct(), cal, [panel],
+                         "effective_date", "session", ["entry_date"])
+    dated = reports.join(dates.select(panel, "effective_date", "entry_date"),
+                         [panel, "effective_date"])
     return dated.join(priced, [panel, key, "entry_date"])
 
 

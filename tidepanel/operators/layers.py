@@ -124,8 +124,11 @@ def macro_layer(bars: DataFrame, bench_returns: DataFrame, liquidity: DataFrame,
                                                               ["panel_id", "session"], "left")
     r = fr.by_series(r).withColumn("__c", fr.rolling_corr("__r", "bench_ret", n, least=2))
     liq = liquidity.select("panel_id", "day", "netliq_chg13w", "netliq_chg13w_z")
-    r = asof.asof_backward(r.select(*KEY, "__c"), liq, ["panel_id"], "session", "day",
-                           ["netliq_chg13w", "netliq_chg13w_z"])
+    # one row per session meets the levels; the instruments then join on the session
+    known = asof.asof_backward(bars.select("panel_id", "session").distinct(), liq, ["panel_id"],
+                               "session", "day", ["netliq_chg13w", "netliq_chg13w_z"])
+    r = r.select(*KEY, "__c").join(known.select(
+        "panel_id", "session", "netliq_chg13w", "netliq_chg13w_z"), ["panel_id", "session"], "left")
     own = F.col("instrument") == bench
     beta = F.when(own, 1.0).otherwise(F.col("__c"))
     chg, z = F.col("netliq_chg13w"), F.col("netliq_chg13w_z")

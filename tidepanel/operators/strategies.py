@@ -27,8 +27,9 @@ def book_pnls(legs: DataFrame, cost: float = COST_PER_SIDE,
     """PnL of successive books. ``legs`` holds (by, sess_no, session, instrument, weight,
     gross); a book without legs is one row with a NULL instrument. Each leg is emitted
     with its own book and, negated, with the next: their sum is the trade."""
-    number = F.dense_rank().over(Window.partitionBy(*by).orderBy("sess_no"))
-    numbered = legs.withColumn("__k", number)
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("sess_no"))
+    numbers = legs.select(*by, "sess_no").distinct().withColumn("__k", number)
+    numbered = legs.join(numbers, [*by, "sess_no"])
     none = F.lit(None)
     sides = F.array(
         F.struct(F.col("__k").alias("k"), F.col("weight").alias("w"), F.col("gross").alias("g"),

@@ -13,47 +13,56 @@ from tidepanel.streaming import histories as st
 
 
 def _land(df, label: str, files: int):
+    """Files in no order of time: most batches hold rows older than those before."""
     path = env.scratch_path(df.sparkSession, label)
     df.repartition(files).write.parquet(path)
     return path
 
 
 def _events(v: Views):
-    # an instant, whatever the session zone: watermarks need one
+    # an instant, whatever the session zone
     e = v.hourly().withColumn("ts", F.timestamp_millis("ts_ms"))
     # every fifth event is delivered twice
     copies = F.when(F.col("ts_ms") % 5 == 0, 2).otherwise(1)
-    return e.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")
+    return e.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(
+        "series_id", "ts_ms", "ts", "rate")
 
 
-def _table(v: Views, df, label: str, keys):
-    return st.VersionedTable(v.spark, env.scratch_path(v.spark, label), df.schema, keys)
+def _table(v: Views, schema, label: str, keys, part, order=()):
+    return st.KeyedTable(v.spark, env.scratch_path(v.spark, label), schema, keys, part, order)
+
+
+def _event_day():
+    return F.expr("ts_ms div 86400000")
 
 
 @query("h01_stream_dedupe", sql("hourly", """
 SELECT series_id, ts_ms, min(rate) AS rate FROM hourly GROUP BY 1, 2"""))
 def h01(v: Views):
-    src = _events(v).select("series_id", "ts_ms", "ts", "rate")
-    path = _land(src, "events", 4)
-    stream = st.deduplicated(st.landed_stream(v.spark, path, src.schema, 2),
-                             ["series_id", "ts_ms"], delay="40 days")
-    table = _table(v, src, "dedupe", ["series_id", "ts_ms"])
-    last = st.run_upserts(stream, table, env.scratch_path(v.spark, "cp"), ["rate"])
-    return table.read(last).select("series_id", "ts_ms", "rate")
+    """Events once each, drained in many batches; a second drain changes nothing."""
+    src = _events(v)
+    path = _land(src, "events", 8)
+    checkpoint = env.scratch_path(v.spark, "cp")
+    table = _table(v, src.schema, "dedupe", ["series_id", "ts_ms"], _event_day())
+    for _ in range(2):
+        st.run_upserts(st.landed_stream(v.spark, path, src.schema, 2), table, checkpoint)
+    return table.read().select("series_id", "ts_ms", "rate")
 
 
 @query("h02_stream_daily_totals", sql("hourly", """
 SELECT series_id, date, date + 1 AS effective_date, round(sum(rate), 6) AS total, count(*) AS n
 FROM hourly GROUP BY 1, 2"""))
 def h02(v: Views):
-    src = v.hourly().select("series_id", F.timestamp_millis("ts_ms").alias("ts"), "rate")
-    path = _land(src, "events", 4)
-    totals = st.daily_totals(st.landed_stream(v.spark, path, src.schema, 2), ["series_id"],
-                             delay="40 days")
-    table = _table(v, totals, "totals", ["series_id", "date"])
-    last = st.run_upserts(totals, table, env.scratch_path(v.spark, "cp"), ["n"], mode="update")
-    return table.read(last).select("series_id", "date", "effective_date",
-                                   F.round("total", 6).alias("total"), "n")
+    """Sums of events delivered once, twice or late."""
+    src = _events(v)
+    path = _land(src, "events", 8)
+    events = _table(v, src.schema, "events", ["series_id", "ts_ms"], _event_day())
+    totals = _table(v, st.daily_totals(src, ["series_id"]).schema, "totals", ["series_id", "date"],
+                    F.col("date"))
+    st.run_daily_totals(st.landed_stream(v.spark, path, src.schema, 2), events, totals,
+                        ["series_id"], env.scratch_path(v.spark, "cp"))
+    return totals.read().select("series_id", "date", "effective_date",
+                                F.round("total", 6).alias("total"), "n")
 
 
 @query("h03_stream_log_upsert", """
@@ -61,31 +70,33 @@ SELECT CAST(o_orderdate AS DATE) AS as_of, max(o_orderkey) AS generated_at,
   arg_max(o_orderpriority, o_orderkey) AS fired, arg_max(o_totalprice, o_orderkey) AS vix
 FROM orders GROUP BY 1""")
 def h03(v: Views):
-    """One row per date whatever the number of reruns: the latest run of a date wins, in
+    """One stored row per date whatever the number of reruns: the latest run of a date wins, in
     whichever batch it arrives."""
     src = v.table("orders").select(
         F.to_date("o_orderdate").alias("as_of"), F.col("o_orderkey").alias("generated_at"),
         F.col("o_orderpriority").alias("fired"), F.col("o_totalprice").alias("vix"))
-    path = env.scratch_path(v.spark, "runs")
-    src.repartitionByRange(3, "generated_at").write.parquet(path)
-    stream = st.landed_stream(v.spark, path, src.schema, 1)
-    table = _table(v, src, "log", ["as_of", "generated_at"])
-    last = st.run_upserts(stream, table, env.scratch_path(v.spark, "cp"), ["vix"])
-    return mg.keep_one(table.read(last), ["as_of"], ["generated_at"])
+    path = _land(src, "runs", 3)
+    table = _table(v, src.schema, "log", ["as_of"], F.year("as_of"), ["generated_at"])
+    st.run_upserts(st.landed_stream(v.spark, path, src.schema, 1), table,
+                   env.scratch_path(v.spark, "cp"))
+    return table.read()
 
 
 @query("h04_stream_snapshots", sql("snapshots", """
 SELECT ticker, date, shares, price FROM snapshots"""))
 def h04(v: Views):
-    """Snapshots keyed by the issuer's own date: late and repeated deliveries of a date
-    replace each other, they never add a second one."""
+    """Snapshots keyed by the issuer's own date: of late and repeated deliveries of a date
+    the last one delivered counts, they never add a second row."""
     s = v.snapshots().select("ticker", "date", "shares", "price")
-    twice = s.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2)))).drop("copy")
-    path = _land(twice, "snapshots", 3)
-    table = _table(v, s, "snap", ["ticker", "date"])
-    last = st.run_upserts(st.landed_stream(v.spark, path, s.schema, 1), table,
-                          env.scratch_path(v.spark, "cp"), ["shares"])
-    return table.read(last)
+    # the first delivery of each is a preliminary one, with other figures
+    sent = s.withColumn("delivered", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    sent = sent.withColumn("shares", F.when(F.col("delivered") == 1, F.col("shares") * 3)
+                           .otherwise(F.col("shares")).cast(s.schema["shares"].dataType))
+    path = _land(sent, "snapshots", 3)
+    table = _table(v, sent.schema, "snap", ["ticker", "date"], F.year("date"), ["delivered"])
+    st.run_upserts(st.landed_stream(v.spark, path, sent.schema, 1), table,
+                   env.scratch_path(v.spark, "cp"))
+    return table.read().drop("delivered")
 
 
 @query("h08_late_revision", sql("positions", """

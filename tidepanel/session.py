@@ -27,11 +27,13 @@ def build_session(app: str = "tidepanel", master: str | None = None, **conf) ->
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in
-    ``spark.checkpoint.dir``. Only a session without that setting (a test) gets
-    a folder of its own."""
+    ``spark.checkpoint.dir``. Only a local session without that setting (a test)
+    gets a folder of its own; elsewhere its lack is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -41,6 +43,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def child_names(spark: SparkSession, path: str) -> list[str] | None:
+    """Names in a folder of any Hadoop file system; None if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return None
+    return [s.getPath().getName() for s in store.listStatus(where)]
+
+
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage is cut and a
     lost executor costs a re-read, not a recompute."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,6 +12,7 @@ from tidepanel import schemas
 from tidepanel.functions.calendar import epoch_date
 from tidepanel.functions.scalars import parse_number
 from tidepanel.operators.merge import keep_one, resolve_priority
+from tidepanel.session import child_names
 from tidepanel.universe import BALANCE_LABELS, POSITIONING_CONTRACTS
 
 
@@ -236,8 +236,8 @@ def prefer_source(candidates: Sequence[tuple[str, DataFrame]], keys: Sequence[st
 
 
 def history_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A stored history, or an empty frame of its schema when it was never written."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    """A stored history, or an empty frame of its schema when it was never written. A folder
+    that is there but can't be read is an error."""
+    if child_names(spark, path) is None:
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)

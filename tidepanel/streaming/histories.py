@@ -1,21 +1,23 @@
 """Incremental histories as Structured Streaming jobs.
 
-Each job reads a folder of landed files, keeps its state under an event-time
-watermark, and upserts every micro-batch into a versioned table: a batch that is
-replayed after a failure rewrites the same version from the same predecessor.
+Each job reads a folder of landed files and upserts every micro-batch into a keyed
+table. The table is the state: a row that arrives late, twice, or older than what is
+stored meets its key there, so no delay has to be guessed and nothing is dropped. A
+batch rewrites only the partitions it touches, beside their predecessors; one that
+is replayed after a failure rewrites the same version.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidepanel.functions.calendar import epoch_date
-from tidepanel.operators.merge import keep_one, merge_latest
-from tidepanel.sources.landing import history_or_empty
+from tidepanel.operators.merge import keep_one
+from tidepanel.session import child_names
 
 
 def landed_stream(spark: SparkSession, folder: str, schema: StructType,
@@ -26,54 +28,102 @@ def landed_stream(spark: SparkSession, folder: str, schema: StructType,
     return reader.parquet(folder)
 
 
-def deduplicated(stream: DataFrame, keys: Sequence[str], event_time: str = "ts",
-                 delay: str = "1 day") -> DataFrame:
-    """One row per key while its duplicates can still arrive; state is bounded by the delay."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
-
-
-def daily_totals(stream: DataFrame, by: Sequence[str], event_time: str = "ts",
-                 value: str = "rate", delay: str = "2 days") -> DataFrame:
-    """Tumbling sums of UTC days. A day is usable from the end of its window."""
+def daily_totals(events: DataFrame, by: Sequence[str], event_time: str = "ts",
+                 value: str = "rate") -> DataFrame:
+    """Sums of UTC days. A day is usable from the end of its window."""
     day = F.window(event_time, "1 day")
-    return (stream.withWatermark(event_time, delay).groupBy(*by, day)
+    return (events.groupBy(*by, day)
             .agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
             .select(*by, epoch_date(F.unix_seconds("window.start")).alias("date"),
                     epoch_date(F.unix_seconds("window.end")).alias("effective_date"),
                     "total", "n"))
 
 
-class VersionedTable:
-    """Keyed table written beside its predecessor; the newest complete version counts."""
+class KeyedTable:
+    """One row per key, the greatest in ``order`` over all batches (ties: the fresher).
+
+    Version v holds whole the partitions that batch v touched (``part`` of a row's key);
+    the table is each partition's newest version. ``order`` decides across
+    batches too: an older run in a later batch does not replace a newer one.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, keys: Sequence[str]):
-        self.spark, self.root, self.schema, self.keys = spark, root, schema, list(keys)
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, keys: Sequence[str],
+                 part: Column, order: Sequence[str] = ()):
+        self.spark, self.root, self.schema = spark, root, schema
+        self.keys, self.part, self.order = list(keys), part, list(order)
 
     def path(self, version: int) -> str:
         return f"{self.root}/v={version}"
 
-    def read(self, version: int) -> DataFrame:
-        return history_or_empty(self.spark, self.path(version), self.schema)
+    def newest(self) -> int:
+        """The newest complete version, 0 if nothing was written. A gap in the versions
+        before it means lost history and is an error."""
+        names = child_names(self.spark, self.root) or []
+        found = sorted(int(n[2:]) for n in names if n.startswith("v="))
+        while found and "_SUCCESS" not in (child_names(self.spark, self.path(found[-1])) or []):
+            found.pop()
+        if found != list(range(1, len(found) + 1)):
+            raise FileNotFoundError(f"versions missing under {self.root}: there are {found}")
+        return len(found)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The table as of a version, by default the newest."""
+        version = self.newest() if version is None else version
+        if version > self.newest():
+            raise FileNotFoundError(f"no version {version} under {self.root}")
+        if not version:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self._stored(version)
+        live = rows.groupBy("__part").agg(F.max("__version").alias("__version"))
+        return rows.join(live, ["__part", "__version"]).select(*self.schema.fieldNames())
+
+    def touched(self, version: int) -> DataFrame:
+        """The partitions that a version wrote, whole."""
+        return self.spark.read.schema(self.schema).parquet(self.path(version))
+
+    def _stored(self, version: int) -> DataFrame:
+        rows = None
+        for v in range(1, version + 1):
+            own = self.touched(v).withColumn("__version", F.lit(v))
+            rows = own if rows is None else rows.unionByName(own)
+        return rows.withColumn("__part", self.part)
+
+    def upsert(self, batch: DataFrame, version: int) -> None:
+        """Write version ``version`` from the one before it. Rerunning it is harmless."""
+        fields = self.schema.fieldNames()
+        fresh = batch.select(*fields).withColumn("__vintage", F.lit(1))
+        parts = batch.select(self.part.alias("__part")).distinct()
+        stored = (self.read(version - 1).withColumn("__part", self.part)
+                  .join(parts, "__part", "left_semi").select(*fields)
+                  .withColumn("__vintage", F.lit(0)))
+        merged = keep_one(stored.unionByName(fresh), self.keys, [*self.order, "__vintage"])
+        merged.select(*fields).write.mode("overwrite").parquet(self.path(version))
+
+
+def run_upserts(stream: DataFrame, table: KeyedTable, checkpoint: str,
+                after: Callable[[int], None] | None = None) -> int:
+    """Drain what has landed; the newest version of the table, whether or not this call wrote it.
+    ``after`` is told each version as it is written."""
+    def batch(df: DataFrame, epoch: int) -> None:
+        table.upsert(df, epoch + 1)
+        if after:
+            after(epoch + 1)
 
-    def upsert(self, batch: DataFrame, version: int, order: Sequence[str] = ()) -> None:
-        """Fresh rows replace stored rows of their key; within a batch the greatest
-        ``order`` wins. Rerunning a version is harmless."""
-        if order:
-            batch = keep_one(batch, self.keys, list(order))
-        merged = merge_latest(self.read(version - 1), batch, self.keys)
-        merged.write.mode("overwrite").parquet(self.path(version))
+    query = (stream.writeStream.option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).foreachBatch(batch).start())
+    query.awaitTermination()
+    return table.newest()
 
 
-def run_upserts(stream: DataFrame, table: VersionedTable, checkpoint: str,
-                order: Sequence[str] = (), mode: str = "append") -> int:
-    """Drain what has landed and return the last version written."""
-    last = {"version": 0}
+def run_daily_totals(stream: DataFrame, events: KeyedTable, totals: KeyedTable, by: Sequence[str],
+                     checkpoint: str, event_time: str = "ts", value: str = "rate") -> int:
+    """Events into their keyed table, each once, and the sums of the days a batch touched.
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        table.upsert(df, epoch + 1, order)
-        last["version"] = epoch + 1
+    Sums come from the stored events, so a second delivery adds nothing and a late event
+    corrects its day. The events' partitions must hold whole days.
+    """
+    def refresh(version: int) -> None:
+        totals.upsert(daily_totals(events.touched(version), by, event_time, value), version)
 
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).foreachBatch(batch).start())
-    query.awaitTermination()
-    return last["version"]
+    run_upserts(stream, events, checkpoint, refresh)
+    return totals.newest()
