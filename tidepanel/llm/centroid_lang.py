@@ -26,6 +26,8 @@ CENTROIDS = 4
 FIT_TEXTS = 1500
 #: A text is rejected below this share of the lowest cosine that all but 1 in 200 fit texts reach.
 SLACK = 0.5
+#: Most languages whose sizes are sent to every task, so that only drawn texts are shuffled; more are joined.
+BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
 
 
@@ -103,7 +105,9 @@ def fit(docs: DataFrame, clusters: int = CENTROIDS, fit_texts: int = FIT_TEXTS)
     rows = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     total, having = document_frequencies(rows)
     weights = np.log((1 + total) / (1 + having)).astype(np.float32) + 1
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if sizes.count() <= BROADCAST_LANGUAGES:
+        sizes = F.broadcast(sizes)
     share = F.least(F.lit(1.0), F.lit(float(fit_texts)) / F.col("n"))
     sample = (rows.join(sizes, "lang").where(
         unit_hash(F.col("doc_id"), F.xxhash64("text"), salt="lang") < share).select("lang", "text"))
