@@ -29,16 +29,20 @@ def _landed(df, label: str, kind: str = "parquet", **options) -> str:
     return path
 
 
-@query("s01_read_by_suffix", sql("bars", _BARS))
+@query("s01_read_by_suffix", sql("bars", " UNION ALL ".join(
+    _BARS.replace("SELECT", f"SELECT '{s}' AS suffix,") for s in ("csv", "parquet"))))
 def s01(v: Views):
-    path = _landed(v.bars().drop("panel_id"), "bars.csv", "csv", header="true")
-    csv = env.scratch_path(v.spark, "s01") + ".csv"
-    ld.read_tabular(v.spark, f"{v.folder}/lineitem.parquet")  # same entry point, other suffix
+    """The same bars landed under either suffix and read through one entry point."""
     schema = ("instrument string, session date, open double, high double, low double, "
               "close double, volume double, factor double")
-    v.spark.read.schema(schema).option("header", "true").csv(path).write.option(
-        "header", "true").csv(csv)
-    return ld.read_tabular(v.spark, csv, schema)
+    bars = v.bars().select("instrument", "session", "open", "high", "low", "close", "volume", "factor")
+    read = []
+    for suffix in ("csv", "parquet"):
+        path = f"{env.scratch_path(v.spark, 'bars')}.{suffix}"
+        options = {"header": "true"} if suffix == "csv" else {}
+        bars.write.options(**options).format(suffix).save(path)
+        read.append(ld.read_tabular(v.spark, path, schema).select(F.lit(suffix).alias("suffix"), "*"))
+    return read[0].unionByName(read[1])
 
 
 @query("s02_symbol_from_file", sql("bars", """

@@ -194,7 +194,13 @@ def x09(v: Views):
         reg = rg.numeric_registry(panel, per_asset)
         for mode in ("level", "change"):
             full, names = rg.surviving(reg if mode == "level" else rg.differences(reg))
-            if len(names) < 3:
+            if len(names) < 3:  # too few readings to measure: a row that says so
+                parts.append(panel.select("panel_id").distinct().select(
+                    F.lit(scope).alias("scope"), F.lit(mode).alias("mode"),
+                    F.lit(len(names)).alias("n_columns"), *[F.lit(None).cast(kind).alias(c) for c, kind in (
+                        ("rows_used", "long"), ("since", "date"), ("until", "date"),
+                        ("participation_ratio", "double"), ("n_for_90pct", "int"),
+                        ("absorption", "double"))]))
                 continue
             full = env.materialise(full, "complete")
             rows = full.groupBy("panel_id").agg(F.count("*").alias("rows_used"),
@@ -213,11 +219,10 @@ def x09(v: Views):
 @query("x09_episodes")
 def x09_episodes(v: Views):
     """Independent looks: sessions over the median decorrelation time."""
-    vol = env.materialise(State(v).vol(), "vol")
-    names = ["vix", "vrp", "vrp_pct", "vix_pct", "term_ratio", "vvix", "skew", "rv20"]
-    rows = rg.long_form(vol.select(*rg.KEYS, *[F.col(c).cast("double").alias(c) for c in names]),
-                        names)
-    sessions = vol.count()
+    registry = rg.numeric_registry(env.materialise(State(v).panel(), "state"))
+    names = rg.with_values(registry)
+    rows = rg.long_form(registry.select(*rg.KEYS, *names), names)
+    sessions = registry.count()
     return rg.episodes(mx.decorrelation_times(rows), sessions).drop("panel_id")
 
 

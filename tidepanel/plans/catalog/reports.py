@@ -247,10 +247,9 @@ def k16(v: Views):
 
 
 @query("k17_series_history", sql("bars cal", """
-SELECT session, round(vix, 6) AS vix, round(vrp, 4) AS vrp, round(vvix, 6) AS vvix FROM surf
-WHERE session >= DATE '1996-01-01'""", **_SURF))
+SELECT session, round(vix, 6) AS vix, round(vrp, 4) AS vrp, round(vvix, 6) AS vvix FROM surf""", **_SURF))
 def k17(v: Views):
-    return State(v).vol().filter("session >= '1996-01-01'").select(
+    return State(v).vol().select(
         "session", r("vix"), r("vrp", 4), r("vvix")).orderBy("session")
 
 

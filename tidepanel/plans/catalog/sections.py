@@ -221,18 +221,18 @@ def c03(v: Views):
                     F.when(rich, 0.0197).otherwise(0.0038).alias("expected_fwd_ret_1m"))
 
 
-_PHI = """SELECT session, z, 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(
+_PHI = """SELECT instrument, session, z, 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(
   range(0, 120), lambda k: sign(z) * exp((2 * k + 1) * ln(greatest(abs(z), 1e-300))
    - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))) AS p
-  FROM (SELECT session, z FROM scored WHERE instrument = 'SPY' AND z IS NOT NULL)"""
+  FROM (SELECT instrument, session, z FROM scored WHERE z IS NOT NULL)"""
 
 
 @query("c07_normal_cdf", sql("panel", """
-SELECT session, round(p, 6) AS p, round(2 * (1 - CASE WHEN z < 0 THEN 1 - p ELSE p END), 6)
+SELECT instrument, session, round(p, 6) AS p, round(2 * (1 - CASE WHEN z < 0 THEN 1 - p ELSE p END), 6)
   AS p_two_sided FROM phi""", scored=_Z, phi=_PHI))
 def c07(v: Views):
-    s = scored(v).filter("instrument = 'SPY' and z is not null")
-    return s.select("session", F.round(sc.norm_cdf("z"), 6).alias("p"),
+    s = scored(v).filter("z is not null")
+    return s.select("instrument", "session", F.round(sc.norm_cdf("z"), 6).alias("p"),
                     F.round(2 * (1 - sc.norm_cdf(F.abs("z"))), 6).alias("p_two_sided"))
 
 

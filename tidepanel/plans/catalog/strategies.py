@@ -241,7 +241,7 @@ def b08(v: Views):
 @query("b09_pair_fade", sql("bars cal", """
 SELECT session, round(avg(-sign(z) * 0.5 * (fa - fb) - 0.001), 6) AS pnl FROM z
 WHERE sess_no >= 121 AND (sess_no - 121) % 21 = 0 AND sess_no < (SELECT count(*) FROM cal) - 21
-  AND abs(z) >= 1 AND fa - fb IS NOT NULL GROUP BY 1""", wide=_WIDE,
+  AND abs(z) >= 2 AND fa - fb IS NOT NULL GROUP BY 1""", wide=_WIDE,
     pairs=" UNION ALL ".join(f"SELECT '{n}' AS pair, session, sess_no, {a} AS a, {b} AS b FROM wide"
                              for n, (a, b) in SPREAD_PAIRS.items()),
     lr="""SELECT *, ln(a / b) AS s, lead(a, 21) OVER o / a - 1 AS fa, lead(b, 21) OVER o / b - 1
@@ -250,7 +250,7 @@ WHERE sess_no >= 121 AND (sess_no - 121) % 21 = 0 AND sess_no < (SELECT count(*)
       / nullif(stddev_samp(s) OVER w, 0) END AS z FROM lr
       WINDOW w AS (PARTITION BY pair ORDER BY session ROWS 119 PRECEDING)"""))
 def b09(v: Views):
-    return out(stg.pair_fade(v.wide(WIDE, carried=True), threshold=1.0))
+    return out(stg.pair_fade(v.wide(WIDE, carried=True)))
 
 
 @query("b10_w01_overnight", sql("bars cal", """
@@ -528,15 +528,15 @@ SELECT half, count(*) FILTER (c) AS n_on, count(*) FILTER (NOT c) AS n_off,
   round((avg(fwd) FILTER (c) - avg(fwd) FILTER (NOT c)) / sqrt(var_samp(fwd) FILTER (c)
    / count(*) FILTER (c) + var_samp(fwd) FILTER (NOT c) / count(*) FILTER (NOT c)), 6) AS welch_t
 FROM (SELECT *, CASE WHEN row_number() OVER (ORDER BY session) <= count(*) OVER () // 2 THEN 'first'
-   ELSE 'second' END AS half FROM rows_) GROUP BY 1""", wide=_WIDE,
-    sig=f"SELECT *, coalesce(VIX > SKEW, false) AS c, {_f('SPY', 21)} AS fwd FROM wide",
-    rows_="""SELECT * FROM sig WHERE sess_no >= 53 AND (sess_no - 53) % 21 = 0
+   ELSE 'second' END AS half FROM rows_) GROUP BY 1""", **_VRP,
+    sig=f"SELECT *, coalesce(vrp > med, false) AS c, {_f('SPY', 21)} AS fwd FROM med",
+    rows_="""SELECT * FROM sig WHERE sess_no >= 253 AND (sess_no - 253) % 21 = 0
       AND sess_no < (SELECT count(*) FROM cal) - 21 AND fwd IS NOT NULL"""))
 def b17(v: Views):
-    wide = v.wide(["SPY", "VIX", "SKEW"], carried=True).withColumns({
-        "c": truthy(F.col("VIX") > F.col("SKEW")),
-        "fwd": fr.forward_return("SPY", 21, ("panel_id",))})
-    rows = xs.block_rows(wide, 21, 53).filter("fwd is not null")
+    """Blocks split by the variance premium against its trailing median."""
+    wide = stg.variance_premium(v.wide(["SPY", "VIX"], carried=True)).withColumns({
+        "c": truthy(F.col("vrp") > F.col("vrp_median")), "fwd": fr.forward_return("SPY", 21, ("panel_id",))})
+    rows = xs.block_rows(wide, 21, 253).filter("fwd is not null")
     halves = xs.split_halves(rows, ["panel_id"], "session")
     res = stg.welch_split(halves, "c", "fwd", ["half"])
     return res.select("half", "n_on", "n_off", *[F.round(c, 6).alias(c) for c in

@@ -194,11 +194,13 @@ def x10(v: Views):
                             "found")
 
 
-@query("o05_top_lead_lag", sql("panel cal", """
+@query("o05_top_lead_lag", sql("panel cal", f"""
 SELECT leader, target, lag, round(cv, 6) AS corr_validation FROM ll
+WHERE coalesce(abs(cd) * sqrt(half - lag) > {_CRIT!r} AND sign(cd) = sign(cv) AND abs(cv) > 0.05, false)
 ORDER BY abs(cv) DESC, leader, target, lag LIMIT 25""", **_LL))
 def o05(v: Views):
-    return _mined(v).orderBy(F.abs("corr_validation").desc(), "leader", "target", "lag").limit(
+    """The strongest of the pairs that passed discovery and validation."""
+    return _mined(v).filter("found").orderBy(F.abs("corr_validation").desc(), "leader", "target", "lag").limit(
         25).select("leader", "target", "lag", r("corr_validation"))
 
 

@@ -38,12 +38,17 @@ def differences(registry: DataFrame) -> DataFrame:
                                     for c in readings(registry)])
 
 
+def with_values(registry: DataFrame, least: int = 250) -> list[str]:
+    """Readings with at least so many values; one row of counts is read on the driver."""
+    names = readings(registry)
+    counts = registry.agg(*[F.count(c).alias(c) for c in names]).first()
+    return [c for c in names if counts[c] >= least]
+
+
 def surviving(registry: DataFrame, least: int = 250) -> tuple[DataFrame, list[str]]:
     """Drop near-empty readings, then incomplete sessions, then constant readings. The
     column manifest is one row of counts, so it is read on the driver."""
-    names = readings(registry)
-    counts = registry.agg(*[F.count(c).alias(c) for c in names]).first()
-    names = [c for c in names if counts[c] >= least]
+    names = with_values(registry, least)
     full = registry.select(*KEYS, *names).na.drop("any", subset=names)
     spread = full.agg(*[F.stddev_samp(c).alias(c) for c in names]).first()
     names = [c for c in names if spread[c] is not None and spread[c] > 0]
