@@ -159,14 +159,15 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
 def one_per_component(docs: DataFrame) -> DataFrame:
     """Documents with one row of each component left: the smallest doc_id's.
 
-    Rows are told apart by a hash of the whole row; of repeated rows one stays.
-    Texts are moved once, to meet the keepers.
+    Rows are told apart by doc_id and a hash of the whole row; of repeated rows
+    one stays. Texts are moved once, to meet the keepers.
     """
     columns = docs.columns
     hashed = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
     classes = near_components(hashed, keep=["doc_id", "__row"])
     first = classes.groupBy("label").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
-    keepers = first.select(F.col("first.__row").alias("__row")).distinct()
-    return (hashed.join(keepers, "__row").dropDuplicates(["__row"])
+    keepers = first.select(F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__kept"))
+    return (hashed.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "__row"])
             .select(*[F.col(f"`{c}`") for c in columns]))
