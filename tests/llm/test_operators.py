@@ -192,6 +192,31 @@ def test_one_document_of_each_component_stays(odd, empty):
     assert vp_dedup.one_per_component(empty).count() == 0
 
 
+def test_like_texts_are_one_component(spark):
+    """The stage links five-word shingle sets from 0.8 on, and no others."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for f in range(12):
+        base = list(rng.choice(words, 400))
+        for k, changed in enumerate((0, 3, 6, 8, 25, 25, 60)):
+            text = list(base)
+            for at in rng.choice(400, changed, replace=False):
+                text[at] = f"new{f}-{k}-{at}"
+            rows.append((100 * f + k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    want = sorted({rows[x][0] for x in label})
+    assert 12 < len(want) < len(rows)
+    assert sorted(r.doc_id for r in vp_dedup.one_per_component(docs).collect()) == want
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.graph import components
 from tidepanel.llm.hamming import near_roots
 from tidepanel.llm.shared import slices
+from tidepanel.llm.shingle_links import set_components, with_sets
 from tidepanel.session import materialise
 
 SEED = 42
@@ -157,14 +158,19 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """Documents with one row of each component left: the smallest doc_id's.
+    """Documents with one row of each component of like texts left: the smallest doc_id's.
 
-    Rows are told apart by doc_id and a hash of the whole row; of repeated rows
-    one stays. Texts are moved once, to meet the keepers.
+    Texts are linked where their sets of five-word shingles are alike by 0.8 or
+    more (``shingle_links``), not by the fingerprints, whose radius of 4 bits
+    holds few such pairs. Rows are told apart by doc_id and a hash of the whole
+    row; of repeated rows one stays.
     """
     columns = docs.columns
     hashed = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
-    classes = near_components(hashed, keep=["doc_id", "__row"])
+    marked = materialise(with_sets(hashed, "text", ["doc_id", "__row"]), "sets-of-rows")
+    labels = set_components(marked, hashed.select("__row", F.col("text").cast("binary").alias("__body")))
+    classes = marked.select("doc_id", "__row", "node").join(labels, "node", "left").select(
+        "doc_id", "__row", F.coalesce("label", "node").alias("label"))
     first = classes.groupBy("label").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
     keepers = first.select(F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__kept"))
