@@ -186,6 +186,15 @@ def test_older_run_in_a_later_batch_does_not_win(spark, tmp_path):
         table.read()
 
 
+def test_rows_with_a_null_partition_are_kept(spark, tmp_path):
+    schema = "k int, day date, v string"
+    table = st.KeyedTable(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema, ["k"], F.col("day"))
+    table.upsert(spark.createDataFrame([(1, None, "a"), (2, DAY, "b"), (3, None, "c")], schema), 1)
+    assert sorted(map(tuple, table.read().collect())) == [(1, None, "a"), (2, DAY, "b"), (3, None, "c")]
+    table.upsert(spark.createDataFrame([(1, None, "new")], schema), 2)
+    assert sorted(map(tuple, table.read().collect())) == [(1, None, "new"), (2, DAY, "b"), (3, None, "c")]
+
+
 def test_registry_loads_without_a_session():
     """The driver may ask for the reference SQL before it has a session."""
     import subprocess

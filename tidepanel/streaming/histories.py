@@ -43,7 +43,8 @@ class KeyedTable:
     """One row per key, the greatest in ``order`` over all batches (ties: the fresher).
 
     Version v holds whole the partitions that batch v touched (``part`` of a row's key);
-    the table is each partition's newest version. ``order`` decides across
+    the table is each partition's newest version; rows with a null ``part`` are one
+    partition. ``order`` decides across
     batches too: an older run in a later batch does not replace a newer one.
     """
 
@@ -74,8 +75,10 @@ class KeyedTable:
         if not version:
             return self.spark.createDataFrame([], self.schema)
         rows = self._stored(version)
-        live = rows.groupBy("__part").agg(F.max("__version").alias("__version"))
-        return rows.join(live, ["__part", "__version"]).select(*self.schema.fieldNames())
+        live = rows.groupBy("__part").agg(F.max("__version").alias("__newest")).withColumnRenamed(
+            "__part", "__live")
+        same = F.col("__part").eqNullSafe(F.col("__live")) & (F.col("__version") == F.col("__newest"))
+        return rows.join(live, same).select(*self.schema.fieldNames())
 
     def touched(self, version: int) -> DataFrame:
         """The partitions that a version wrote, whole."""
@@ -92,9 +95,9 @@ class KeyedTable:
         """Write version ``version`` from the one before it. Rerunning it is harmless."""
         fields = self.schema.fieldNames()
         fresh = batch.select(*fields).withColumn("__vintage", F.lit(1))
-        parts = batch.select(self.part.alias("__part")).distinct()
+        parts = batch.select(self.part.alias("__fresh")).distinct()
         stored = (self.read(version - 1).withColumn("__part", self.part)
-                  .join(parts, "__part", "left_semi").select(*fields)
+                  .join(parts, F.col("__part").eqNullSafe(F.col("__fresh")), "left_semi").select(*fields)
                   .withColumn("__vintage", F.lit(0)))
         merged = keep_one(stored.unionByName(fresh), self.keys, [*self.order, "__vintage"])
         merged.select(*fields).write.mode("overwrite").parquet(self.path(version))
