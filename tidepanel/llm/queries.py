@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import (bpe_count, centroid_lang, chat_parts, co_training, simhash_tables,
+from tidepanel.llm import (bag_search, bpe_count, centroid_lang, chat_parts, co_training, simhash_tables,
                            slack_packing, source_mixing, term_topk, vp_dedup, warc)
 from tidepanel.llm.shared import table
 
@@ -65,6 +65,10 @@ def op10_centroid_lang(spark: SparkSession, folder: str) -> DataFrame:
     return centroid_lang.language_report(table(spark, folder, "documents"))
 
 
+def op11_bag_search(spark: SparkSession, folder: str) -> DataFrame:
+    return bag_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
@@ -73,6 +77,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_co_training, op2_mixing, op3_vp_dedup, op4_warc, op5_bpe_count,
                             op6_packing, op7_chat_parts, op8_term_topk, op9_simhash_tables,
-                            op10_centroid_lang, pipeline)}
+                            op10_centroid_lang, op11_bag_search, pipeline)}
 SQL: dict[str, str] = {"op2_mixing": source_mixing.MIX_SQL, "op4_warc": warc.WARC_SQL,
-                       "op7_chat_parts": chat_parts.CHAT_SQL, "op8_term_topk": term_topk.TOP_SQL}
+                       "op7_chat_parts": chat_parts.CHAT_SQL, "op8_term_topk": term_topk.TOP_SQL,
+                       "op11_bag_search": bag_search.SEARCH_SQL}
