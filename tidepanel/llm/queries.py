@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import (bag_search, bpe_count, centroid_lang, chat_parts, co_training, simhash_tables,
-                           slack_packing, source_mixing, term_topk, vp_dedup, warc)
+                           slack_packing, source_mixing, term_topk, token_alignment, vp_dedup, warc)
 from tidepanel.llm.shared import table
 
 #: Vocabulary files; any path to a file of the same kind can stand here.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: The conversation that each run adds: control strings in both roles.
 EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
@@ -69,6 +70,10 @@ def op11_bag_search(spark: SparkSession, folder: str) -> DataFrame:
     return bag_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.alignment_report(table(spark, folder, "documents"), BYTE_VOCABULARY, PIECE_VOCABULARY)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
@@ -77,7 +82,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_co_training, op2_mixing, op3_vp_dedup, op4_warc, op5_bpe_count,
                             op6_packing, op7_chat_parts, op8_term_topk, op9_simhash_tables,
-                            op10_centroid_lang, op11_bag_search, pipeline)}
+                            op10_centroid_lang, op11_bag_search, op13_token_alignment, pipeline)}
 SQL: dict[str, str] = {"op2_mixing": source_mixing.MIX_SQL, "op4_warc": warc.WARC_SQL,
                        "op7_chat_parts": chat_parts.CHAT_SQL, "op8_term_topk": term_topk.TOP_SQL,
                        "op11_bag_search": bag_search.SEARCH_SQL}
