@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import (bag_search, bpe_count, centroid_lang, chat_parts, co_training, simhash_tables,
-                           slack_packing, source_mixing, term_topk, token_alignment, vp_dedup, warc)
+                           slack_packing, source_mixing, substring_dedup, term_topk, token_alignment, vp_dedup, warc)
 from tidepanel.llm.shared import table
 
 #: Vocabulary files; any path to a file of the same kind can stand here.
@@ -70,6 +70,10 @@ def op11_bag_search(spark: SparkSession, folder: str) -> DataFrame:
     return bag_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_recompression(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return token_alignment.alignment_report(table(spark, folder, "documents"), BYTE_VOCABULARY, PIECE_VOCABULARY)
 
@@ -82,7 +86,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_co_training, op2_mixing, op3_vp_dedup, op4_warc, op5_bpe_count,
                             op6_packing, op7_chat_parts, op8_term_topk, op9_simhash_tables,
-                            op10_centroid_lang, op11_bag_search, op13_token_alignment, pipeline)}
+                            op10_centroid_lang, op11_bag_search, op12_recompression,
+                            op13_token_alignment, pipeline)}
 SQL: dict[str, str] = {"op2_mixing": source_mixing.MIX_SQL, "op4_warc": warc.WARC_SQL,
                        "op7_chat_parts": chat_parts.CHAT_SQL, "op8_term_topk": term_topk.TOP_SQL,
-                       "op11_bag_search": bag_search.SEARCH_SQL}
+                       "op11_bag_search": bag_search.SEARCH_SQL, "op12_recompression": substring_dedup.REPEATS_SQL}
