@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.shared import code_points, gram_counts, letter_table, slices, squeeze_letters, unit_hash
+from tidepanel.llm.shared import code_points, gram_counts, letter_table, on_whole_rows, slices, squeeze_letters, unit_hash
 from tidepanel.session import materialise
 
 ORDERS, BUCKETS = (1, 2, 3), 4096
@@ -175,9 +175,12 @@ def language_report(docs: DataFrame) -> DataFrame:
     return identify(rows, model, ["doc_id", "held_out"])
 
 
+@on_whole_rows
 def recognised_documents(docs: DataFrame) -> DataFrame:
-    """The documents whose language is recognised, their columns as they were."""
-    columns = docs.columns
+    """The documents whose language is recognised, their columns as they were.
+
+    Null texts and texts without a letter are rejected; long texts count whole; repeated rows are judged
+    alike. Without a language to learn, and on an empty table, nothing is left.
+    """
     model = fit(docs.where(~held_out()))
-    return identify(docs.withColumn("__body", F.col("text")), model, columns, "__body").where(
-        ~F.col("rejected")).select(*[F.col(f"`{c}`") for c in columns])
+    return identify(docs, model, ["__doc"]).where(~F.col("rejected"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.shared import code_points, gram_counts, letter_table, slices, unit_hash
+from tidepanel.llm.shared import code_points, gram_counts, letter_table, on_whole_rows, slices, unit_hash
 from tidepanel.session import materialise
 
 ORDERS, GRAMS = (1, 2, 3), 4096
@@ -255,12 +255,11 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
 
 
+@on_whole_rows
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, their columns as they were."""
-    columns = docs.columns
-    rows = docs.withColumns({f"__{c}": F.col(c) for c in ("text", "lang", "source")})
-    scored = score(rows, fit(docs, labels), columns, "__text", "__lang", "__source")
-    places = scored.columns[:len(columns)]
-    flag = scored.columns[-1]
-    return scored.toDF(*[f"c{i}" for i in range(len(columns))], "x", "y", "z", flag).where(flag).select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(places)])
+    """The documents that are kept, their columns as they were.
+
+    Null and empty texts, nulls in other columns, long texts and repeated rows are scored like any other
+    row; without a model (labels of fewer than two classes) all rows stay. An empty table stays empty.
+    """
+    return score(docs, fit(docs, labels), ["__doc"]).where("kept")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -20,6 +21,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def on_whole_rows(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage (docs, ...) -> rows of docs, for tables with any further columns.
+
+    The stage gets the columns of ``documents`` that there are and the caller's whole row in one struct,
+    ``__doc``, so no name of the caller's can meet one that the stage uses; the first of several columns
+    of one name counts. The rows it returns get the caller's columns back, values, names and order.
+    """
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *rest: Any, **named: Any) -> DataFrame:
+        names = docs.columns
+        plain = docs.toDF(*[f"f{i}" for i in range(len(names))])
+        read = [F.col(f"f{names.index(c)}").alias(c) for c in DOCUMENT_COLUMNS if c in names]
+        kept = stage(plain.select(*read, F.struct(*plain.columns).alias("__doc")), *rest, **named)
+        return kept.select(*[F.col("__doc")[f"f{i}"].alias(n) for i, n in enumerate(names)])
+
+    return run
+
+
 def unit_hash(*columns: Column | str, salt: str = "") -> Column:
     """A repeatable uniform number in [0, 1) from the columns."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(salt), *columns), 11)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.shared import WORD_PATTERN
+from tidepanel.llm.shared import WORD_PATTERN, on_whole_rows
 from tidepanel.session import materialise
 
 #: Weights of the sources in code-point order, repeating.
@@ -14,8 +14,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
 #: Share of a source by which rounding may leave a target below whole epochs.
 ROUNDING = 1e-9
-#: Slices of a source's key range; only the slice with the budget's end is sorted.
-KEY_SLICES = 1024
+#: Slices for each factor e of a key; only the slice with the budget's end is sorted. A key is exponential, so at
+#: any weight no slice holds over 1 / (e KEY_SLICES) of the documents of that weight.
+KEY_SLICES = 512
 #: Most sources whose targets are sent to every task; more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -44,7 +45,7 @@ def keyed(docs: DataFrame, seed: str = "mix", weight: Column | None = None) -> D
     key = exponential_key(F.col("doc_id"), quality_weight(F.col("text")) if weight is None else weight, seed)
     return (docs.withColumn("__size", word_count(F.col("text")))
             .withColumn("__key", key)
-            .withColumn("__slice", F.floor(F.lit(KEY_SLICES) * (1 - F.exp(-F.col("__key")))).cast("int"))
+            .withColumn("__slice", F.floor(F.lit(KEY_SLICES) * F.log("__key")).cast("int"))
             .withColumn("__place", F.struct(
                 F.col("__key"), F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("id"),
                 F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("body")))
@@ -143,20 +144,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: str = "mix"
         "doc_id", F.col("__size").alias("size"), "source_size", "target", "taken")
 
 
+@on_whole_rows
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
     """The documents the mix takes, each as often as it is taken, whole.
 
     The document at the end of a budget is taken if that brings the sum nearer
     to the target. Texts are not shuffled: the budgets are sent to them. Empty
-    documents cost nothing and are dealt with like the others.
+    and null texts cost nothing, so those whose key comes before a budget's end are taken one time more
+    than the whole epochs, as other documents are; repeated rows are taken alike, a null
+    source is a source. An empty table stays empty; further columns come back as they were.
     """
-    columns = docs.columns
     rows = keyed(docs, seed)
     small = materialise(rows.select("source", "__size", "__slice", "__place"), "keyed")
     plan = budgets(small, weights, whole_documents=True)
     taken = assign(rows, plan, whole_documents=True)
     return (taken.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
-            .select(*[F.col(f"`{c}`") for c in columns]))
+            .select("__doc"))
 
 
 #: The same mix in DuckDB, with one window over each source.

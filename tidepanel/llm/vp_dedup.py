@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.graph import components
 from tidepanel.llm.hamming import near_roots
-from tidepanel.llm.shared import slices
+from tidepanel.llm.shared import on_whole_rows, slices
 from tidepanel.llm.shingle_links import set_components, with_sets
 from tidepanel.session import materialise
 
@@ -157,16 +157,20 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
                     "component_id", "label"))
 
 
+@on_whole_rows
 def one_per_component(docs: DataFrame) -> DataFrame:
     """Documents with one row of each component of like texts left: the smallest doc_id's.
 
     Texts are linked where their sets of five-word shingles are alike by 0.8 or
     more (``shingle_links``), not by the fingerprints, whose radius of 4 bits
-    holds few such pairs. Rows are told apart by doc_id and a hash of the whole
-    row; of repeated rows one stays.
+    holds few such pairs. Null, empty and word-free texts have the same empty set: one of them
+    stays, as of any other copies. Rows are told apart by doc_id and a hash of the whole
+    row; of repeated rows one stays; a null doc_id stays only where its component has no other.
+    Long texts count whole. An empty table stays empty; further columns come back as they were,
+    whatever their names.
     """
     columns = docs.columns
-    hashed = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    hashed = docs.withColumn("__row", F.xxhash64(*columns))
     marked = materialise(with_sets(hashed, "text", ["doc_id", "__row"]), "sets-of-rows")
     labels = set_components(marked, hashed.select("__row", F.col("text").cast("binary").alias("__body")))
     classes = marked.select("doc_id", "__row", "node").join(labels, "node", "left").select(
@@ -175,5 +179,4 @@ def one_per_component(docs: DataFrame) -> DataFrame:
         F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
     keepers = first.select(F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__kept"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__kept"))
-    return (hashed.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "__row"])
-            .select(*[F.col(f"`{c}`") for c in columns]))
+    return hashed.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "__row"]).select(*columns)
