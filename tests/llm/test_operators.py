@@ -1,12 +1,14 @@
 """Training-data operators on small fixtures: brute force, round trips, odd rows, empty tables."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -14,8 +16,9 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidepanel.llm import (bpe_count, centroid_lang, chat_parts, co_training, queries,
-                           simhash_tables, slack_packing, source_mixing, term_topk, vp_dedup, warc)
+                           shingle_links, simhash_tables, slack_packing, source_mixing, term_topk, vp_dedup, warc)
 from tidepanel.llm.graph import components
+from tidepanel.llm.shared import DOCUMENT_COLUMNS
 from tidepanel.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -181,11 +184,29 @@ def test_large_shards_are_split_without_loss(spark):
     assert found[0] == found[1] and len(found[0]) > 500
 
 
+def alike_keepers(rows):
+    """doc_ids that stay of (doc_id, text) rows: the smallest of each set of texts linked at 0.8."""
+    sets = []
+    for _, text in rows:
+        words = ["".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    least = {}
+    for (key, _), at in zip(rows, label):
+        least[at] = min(least.get(at, float("inf")), float("inf") if key is None else key)
+    return sorted(least.values())
+
+
 def test_one_document_of_each_component_stays(odd, empty):
     got = vp_dedup.one_per_component(odd)
-    classes = vp_dedup.near_components(odd)
     assert got.columns == odd.columns
-    assert got.count() == classes.select("label").distinct().count()
+    assert sorted(float("inf") if r.doc_id is None else r.doc_id for r in got.collect()) == alike_keepers(
+        [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()])
     assert within(got, odd)
     ids = [r.doc_id for r in got.collect()]
     assert 4 in ids and 20 not in ids and ids.count(5) == 1
@@ -205,18 +226,47 @@ def test_like_texts_are_one_component(spark):
                 text[at] = f"new{f}-{k}-{at}"
             rows.append((100 * f + k, " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for _, t in rows]
-    label = list(range(len(rows)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and label[i] != label[j]:
-                old, new = max(label[i], label[j]), min(label[i], label[j])
-                label = [new if x == old else x for x in label]
-    want = sorted({rows[x][0] for x in label})
+    want = alike_keepers(rows)
     assert 12 < len(want) < len(rows)
     assert sorted(r.doc_id for r in vp_dedup.one_per_component(docs).collect()) == want
 
 
+@pytest.mark.parametrize("most", [10_000, 64])
+def test_a_family_that_only_its_first_text_ties_together(spark, most):
+    """Texts alike to one by 0.8 and to each other by less, in one group and in parts of bands."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(4000)]
+    base, rows = list(rng.choice(words, 400)), []
+    for k in range(200):
+        text = list(base)
+        for at in rng.choice(400, 8, replace=False):
+            text[at] = f"new{k}-{at}"
+        rows.append((k + 1, " ".join(text)))
+    rows.append((0, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("__row", F.xxhash64("doc_id"))
+    marked = shingle_links.with_sets(docs, "text", ["doc_id", "__row"]).cache()
+    labels = shingle_links.set_components(
+        marked, docs.select("__row", F.col("text").cast("binary").alias("__body")), group_rows=most)
+    assert labels.count() == len(rows) and labels.select("label").distinct().count() == 1
+    if most > len(rows):
+        group = marked.selectExpr("node", "n", "sketch", "node AS comp", "true AS asks").toArrow()
+        own = [shingle_links.shingles(r.text.encode()).tobytes() for r in docs.collect()]
+        found = shingle_links.star_links(group.append_column("own", pa.array(own, pa.binary())))
+        assert found.num_rows == len(rows) - 1
+
+
+def test_stages_keep_columns_of_any_name(spark, odd):
+    """Columns with names that the stages use come back as they were."""
+    names = ["target", "epochs", "cut", "end_slice", "source_size", "copies", "__size", "score", "rejected", "__text",
+             "quality", "kept", "__row", "__body", "node", "label", "held_out", "__doc", "f0", "doc_id"]
+    docs = odd.select(*DOCUMENT_COLUMNS, *[F.concat(F.lit(f"{n} "), F.coalesce("text", F.lit(""))).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert within(got.distinct(), docs), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.drop("doc_id").withColumn("doc_id", F.lit(1)), SF).count() > 0
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
@@ -415,8 +465,8 @@ def test_pipeline_stages_one_after_the_other(spark, small):
         assert docs.columns == small.columns
         assert within(docs.distinct(), small)
         if name == "near_duplicates":
-            classes = vp_dedup.near_components(before)
-            assert docs.count() == classes.select("label").distinct().count()
+            rows = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
+            assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == alike_keepers(rows)
         if name == "quality":
             kept = {r.doc_id for r in docs.select("doc_id").collect()}
             good = labels[labels.quality == 1].doc_id
