@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tidepanel import session as env
 from tidepanel.operators import matrices as mx
+from tidepanel.operators import rules as ru
 from tidepanel.plans import registries as rg
+from tidepanel.plans.catalog.rules import _SURF
 from tidepanel.plans.oracle import sql
 from tidepanel.plans.registry import query
 from tidepanel.plans.state import State
-from tidepanel.plans.views import BRAND_INSTRUMENTS, Views
+from tidepanel.plans.views import BRAND_INSTRUMENTS, PRIORITY_ASSETS, Views
 from tidepanel.universe import POSITIONED, RISK_BASKET
 
 NAMES = BRAND_INSTRUMENTS
@@ -187,33 +189,78 @@ def p11(v: Views):
 
 @query("x09_registry_report")
 def x09(v: Views):
-    """Scope x mode rows of effective dimension over the state panel's readings."""
-    panel = env.materialise(State(v).panel(), "state")
-    parts = []
-    for scope, per_asset in (("market_level", False), ("with_per_asset_cot", True)):
-        reg = rg.numeric_registry(panel, per_asset)
-        for mode in ("level", "change"):
-            full, names = rg.surviving(reg if mode == "level" else rg.differences(reg))
-            if len(names) < 3:  # too few readings to measure: a row that says so
-                parts.append(panel.select("panel_id").distinct().select(
-                    F.lit(scope).alias("scope"), F.lit(mode).alias("mode"),
-                    F.lit(len(names)).alias("n_columns"), *[F.lit(None).cast(kind).alias(c) for c, kind in (
-                        ("rows_used", "long"), ("since", "date"), ("until", "date"),
-                        ("participation_ratio", "double"), ("n_for_90pct", "int"),
-                        ("absorption", "double"))]))
-                continue
-            full = env.materialise(full, "complete")
-            rows = full.groupBy("panel_id").agg(F.count("*").alias("rows_used"),
-                                                F.min("session").alias("since"),
-                                                F.max("session").alias("until"))
-            dim = mx.effective_dimension(rg.spearman_matrix(full, names))
-            parts.append(dim.join(rows, "panel_id").select(
-                F.lit(scope).alias("scope"), F.lit(mode).alias("mode"), "n_columns", "rows_used",
-                "since", "until", "participation_ratio", "n_for_90pct", "absorption"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Effective dimension of the state panel's readings by scope and mode, and of the whole market."""
+    state = State(v)
+    dims, _ = rg.registry_report(state.panel(), state.v.panel(), NAMES)
+    return dims.drop("panel_id")
+
+
+@query("k18_registry_report")
+def k18(v: Views):
+    """The report as long rows: dimensions, episodes, pairs, families, readings."""
+    state = State(v)
+    _, long = rg.registry_report(state.panel(), state.v.panel(), NAMES)
+    return long.select("section", "item", "metric", r("value"))
+
+
+_SOLID = {"vol_vix": "vix", "vol_rv20": "rv20", "vol_vrp": "vrp", "vol_term_ratio": "term_ratio"}
+_HELD = sorted(PRIORITY_ASSETS.values())
+_PANEL_READINGS = [*_SOLID, "cot_n_crowded", *[f"cot_idx52_{a}" for a in _HELD]]
+#: Readings whose whole history SQL can state, through the same keyed plan.
+_KEYED = dict(
+    _SURF, rp="SELECT s.session, " + ", ".join(f"s.{c} AS {n}" for n, c in _SOLID.items()) + """, p.* EXCLUDE (session)
+      FROM surf s LEFT JOIN (SELECT session,
+        count(*) FILTER (idx52 >= 0.8 OR idx52 <= 0.2) AS cot_n_crowded, """ + ", ".join(
+        f"max(idx52) FILTER (asset = '{a}') AS cot_idx52_{a}" for a in _HELD) + """ FROM posday GROUP BY 1) p
+      ON p.session = s.session""",
+    lv=" UNION ALL ".join(f"SELECT session, '{c}' AS reading, {c}::DOUBLE AS x FROM rp" for c in _PANEL_READINGS),
+    md="""SELECT 'level' AS mode, session, reading, round(x, 9) AS value FROM lv UNION ALL
+      SELECT 'change', session, reading, round(x - lag(x) OVER (PARTITION BY reading ORDER BY session), 9) FROM lv""",
+    sc="""SELECT scope, md.* FROM md JOIN (VALUES ('market_level'), ('with_per_asset_cot')) t(scope)
+      ON scope = 'with_per_asset_cot' OR reading = 'cot_n_crowded' OR reading NOT LIKE 'cot_%'""",
+    k1="SELECT * FROM sc QUALIFY count(value) OVER (PARTITION BY scope, mode, reading) >= 250",
+    k2="""SELECT * FROM (SELECT *, count(value) OVER (PARTITION BY scope, mode, session) AS have,
+      (SELECT count(DISTINCT reading) FROM k1 w WHERE w.scope = k1.scope AND w.mode = k1.mode) AS width FROM k1)
+      WHERE have = width""",
+    k3="SELECT * FROM k2 QUALIFY stddev_samp(value) OVER (PARTITION BY scope, mode, reading) > 0",
+    kr="""SELECT *, rank() OVER (PARTITION BY scope, mode, reading ORDER BY value)
+      + (count(*) OVER (PARTITION BY scope, mode, reading, value) - 1) / 2.0 AS rk FROM k3""",
+    kc="""SELECT a.scope, a.mode, a.reading AS a, b.reading AS b, corr(a.rk, b.rk) AS corr FROM kr a
+      JOIN kr b ON a.scope = b.scope AND a.mode = b.mode AND a.session = b.session GROUP BY ALL""")
+
+
+def _keyed(v: Views):
+    state = State(v)
+    vol = state.vol().select("panel_id", "session", "sess_no", *[F.col(c).alias(n) for n, c in _SOLID.items()])
+    pos = state.positions().groupBy("panel_id", "sess_no").agg(
+        F.count_if(ru.is_crowded()).alias("cot_n_crowded"),
+        *[F.max(F.when(F.col("asset") == a, F.col("idx52"))).alias(f"cot_idx52_{a}") for a in _HELD])
+    rows = env.materialise(rg.keyed_readings(vol.join(pos, ["panel_id", "sess_no"], "left"), 9), "keyed")
+    cases = env.materialise(rg.complete_cases(rows), "cases")
+    return rows, cases, env.materialise(rg.keyed_correlations(cases, _PANEL_READINGS), "keyed-correlations")
+
+
+@query("x09_keyed_dimensions", sql("bars posday", """
+SELECT scope, mode, n_columns, rows_used, since, until, columns_dropped, participation_ratio FROM (
+  SELECT scope, mode, count(DISTINCT reading) AS n_columns, count(DISTINCT session) AS rows_used,
+    min(session) AS since, max(session) AS until FROM k3 GROUP BY 1, 2)
+JOIN (SELECT scope, mode, round(sum(corr) FILTER (a = b) ** 2 / sum(corr * corr), 2) AS participation_ratio
+  FROM kc GROUP BY 1, 2) USING (scope, mode)
+JOIN (SELECT sc.scope, sc.mode, count(DISTINCT sc.reading) - count(DISTINCT k3.reading) AS columns_dropped
+  FROM sc LEFT JOIN k3 USING (scope, mode, reading) GROUP BY 1, 2) USING (scope, mode)""", **_KEYED))
+def x09_keyed(v: Views):
+    rows, cases, corr = _keyed(v)
+    return rg.dimension_rows(rows, cases, corr).select(
+        "scope", "mode", "n_columns", "rows_used", "since", "until", "columns_dropped", "participation_ratio")
+
+
+@query("k18_redundant_pairs", sql("bars posday", """
+SELECT scope, mode, a, b, round(abs(corr), 6) AS abs_corr, CAST(row_number() OVER (
+  PARTITION BY scope, mode ORDER BY abs(corr) DESC, a, b) AS INT) AS place
+FROM kc WHERE a < b AND corr IS NOT NULL QUALIFY place <= 15""", **_KEYED))
+def k18_pairs(v: Views):
+    _, _, corr = _keyed(v)
+    return rg.redundant_pairs(corr).select("scope", "mode", "a", "b", r("abs_corr"), "place")
 
 
 @query("x09_episodes")

@@ -253,10 +253,10 @@ def k17(v: Views):
         "session", r("vix"), r("vrp", 4), r("vvix")).orderBy("session")
 
 
-@query("k18_top_books", sql("grid", """
+@query("k10_top_books", sql("grid", """
 SELECT strategy, n, mean_pnl, hit FROM s ORDER BY mean_pnl DESC, strategy LIMIT 10""",
     pnls=_EVENTS, s=_BOARD))
-def k18(v: Views):
+def k10_top(v: Views):
     board = stg.summarise_pnls(_event_pnls(v), ["strategy"]).select(
         "strategy", "n", r("mean_pnl"), r("hit"))
     return board.orderBy(F.col("mean_pnl").desc(), "strategy").limit(10)
