@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import scalars as sc
+from tidepanel.operators import boosting as bt
 from tidepanel.operators import gate, model
 from tidepanel.operators import rules as ru
 from tidepanel.operators import sections as xs
@@ -142,9 +143,9 @@ def test_top_bottom_needs_width(spark):
 
 def test_folds_are_purged(spark):
     for h in (5, 21):
-        for f in model.fold_table(spark, 2500, h, 750, 126):
+        for f in bt.walk_forward_fits({"all": ["x"]}, ["x"], [h], 2500, 750, 126):
             # the label of the last training session is realised by the first scored one
-            assert f["train_end"] - 1 + h < f["score_from"]
+            assert f.train_end - 1 + h < f.score_from
 
 
 def _hours(spark, days, path, files=6):

@@ -82,3 +82,18 @@ def gate_verdict(stats: DataFrame, ratio_min: float = GATE_RATIO_MIN,
         F.when(~ratio_ok, F.format_string(f"deflated_sharpe_ratio %.4f <= {ratio_min}", "ratio")),
         F.when(~pbo_ok, F.format_string(f"pbo %.4f >= {pbo_max}", "pbo"))))
     return stats.withColumns({"passes": ratio_ok & pbo_ok, "reasons": reasons})
+
+
+def gated_trials(pnls: DataFrame, trials: int, blocks: int = 10) -> DataFrame:
+    """Gate verdict of every (variant, horizon) of (panel_id, variant, horizon, session, sess_no, pnl) rows.
+
+    The deflated ratio counts all ``trials``; the overfitting probability of a horizon is that of choosing
+    among its variants. A variant is promoted if each of its horizons passes.
+    """
+    key = ["panel_id", "variant", "horizon"]
+    stats = deflated_sharpe(pnls, key, trials)
+    pbo = overfit_probability(pnls, ("panel_id", "horizon"), "variant", blocks=blocks)
+    span = pnls.groupBy(*key).agg(F.min("session").alias("first_oos"), F.max("session").alias("last_oos"))
+    out = gate_verdict(stats.join(pbo, ["panel_id", "horizon"], "left").join(span, key))
+    every = Window.partitionBy("panel_id", "variant")
+    return out.withColumns({"promoted": F.min("passes").over(every), "n_trials": F.lit(trials)})

@@ -1,11 +1,9 @@
-"""Features, labels and the expanding walk-forward model on Spark ML."""
+"""Features, labels, block results and score history of the walk-forward model (``boosting`` grows it)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +15,15 @@ WINDOWS = (5, 10, 20, 30, 60)
 HORIZONS = (5, 21)
 
 
+BAR_SHAPE = ("bar_mid", "bar_len", "bar_mid_rel", "bar_up", "bar_low", "bar_shift", "open_rel", "high_rel", "low_rel")
+ROLLING = ("roc", "mean", "std", "max", "min", "up_share", "gain", "vol_mean", "vol_std", "corr")
+
+
+def feature_names(windows: Sequence[int] = WINDOWS) -> list[str]:
+    """Names of ``feature_columns``, in order."""
+    return [*BAR_SHAPE, *[f"{r}_{n}" for n in windows for r in ROLLING]]
+
+
 def feature_columns(windows: Sequence[int] = WINDOWS) -> dict[str, Column]:
     """Bar-shape ratios and rolling statistics relative to the last close. All of them
     are windows over one partitioning and one sort."""
@@ -60,67 +67,31 @@ def augment(features: DataFrame, context: DataFrame, keys=("panel_id", "session"
     return features.join(context, list(keys), "left")
 
 
-def fold_table(spark, n_sessions: int, horizon: int, min_train: int, refit_every: int
-               ) -> list[dict]:
-    """Refit points. A fold trains on sessions before refit - horizon, so every training
-    label is realised by the refit, and scores from the refit to the next one."""
-    return [{"fold": k, "train_end": i - horizon, "score_from": i,
-             "score_to": min(i + refit_every, n_sessions)}
-            for k, i in enumerate(range(min_train, n_sessions, refit_every))]
-
-
-def assemble(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Vector of features; a missing one is 0 and is counted in an extra feature."""
-    gaps = sum((F.when(F.col(n).isNull() | F.isnan(F.col(n)), 1.0).otherwise(0.0) for n in names),
-               F.lit(0.0))
-    filled = df.withColumns({"__gaps": gaps, **{
-        n: F.coalesce(F.nanvl(F.col(n), F.lit(None).cast("double")), F.lit(0.0)) for n in names}})
-    return VectorAssembler(inputCols=[*names, "__gaps"], outputCol="features").transform(filled)
-
-
-def walk_forward(rows: DataFrame, names: Sequence[str], label: str, horizon: int,
-                 n_sessions: int, min_train: int = 750, refit_every: int = 126,
-                 least: int = 500, trees: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
-    """Out-of-sample scores of every session from the first fit on. Folds share nothing
-    and each fit and transform runs on the executors; the loop only names them."""
-    data = assemble(rows, names).select(*fr.SERIES, "session", "sess_no", "features", label)
-    model, scored = None, []
-    for fold in fold_table(rows.sparkSession, n_sessions, horizon, min_train, refit_every):
-        train = data.filter((F.col("sess_no") < fold["train_end"]) & F.col(label).isNotNull())
-        if train.limit(least).count() >= least:
-            model = GBTRegressor(labelCol=label, featuresCol="features", maxIter=trees,
-                                 maxDepth=depth, stepSize=0.1, subsamplingRate=0.8,
-                                 seed=seed).fit(train)
-        if model is None:
-            continue
-        live = data.filter((F.col("sess_no") >= fold["score_from"])
-                           & (F.col("sess_no") < fold["score_to"]))
-        scored.append(model.transform(live).select(
-            *fr.SERIES, "session", "sess_no", F.lit(fold["fold"]).alias("fold"),
-            F.col("prediction").alias("score"), F.col(label).alias("label")))
-    if not scored:
-        return data.limit(0).select(*fr.SERIES, "session", "sess_no", F.lit(0).alias("fold"),
-                                    F.lit(0.0).alias("score"), F.col(label).alias("label"))
-    out = scored[0]
-    for s in scored[1:]:
-        out = out.unionByName(s)
-    return out
-
-
 def model_pnls(scores: DataFrame, horizon: int, start: int, k: int = TOPK,
-               cost: float = 2 * COST_PER_SIDE) -> DataFrame:
+               cost: float = 2 * COST_PER_SIDE, by: Sequence[str] = ()) -> DataFrame:
     """Top-k less bottom-k realised label per rebalance, both sides paid."""
     due = block_rows(scores, horizon, start)
-    legs = top_bottom(due, "score", k)
+    legs = top_bottom(due, "score", k, by=("panel_id", *by, "session"))
     top = F.avg(F.when(F.col("side") == 1, F.col("label")))
     bottom = F.avg(F.when(F.col("side") == -1, F.col("label")))
-    out = legs.groupBy("panel_id", "session", "sess_no").agg((top - bottom - cost).alias("pnl"))
+    out = legs.groupBy("panel_id", *by, "session", "sess_no").agg((top - bottom - cost).alias("pnl"))
     return out.filter("pnl is not null")
 
 
-def score_history(scores: DataFrame, k: int = TOPK) -> DataFrame:
-    """Every scored session with rank percentile and lean, wide sections only."""
-    wide = scores.groupBy("panel_id", "session").agg(F.count("score").alias("__n")).filter(
-        F.col("__n") >= 2 * k + 1)
-    rows = scores.join(wide.drop("__n"), ["panel_id", "session"], "left_semi")
-    return leans(rows, "score", k)
+def trial_pnls(scores: DataFrame, horizons: Sequence[int], start: int, k: int = TOPK) -> DataFrame:
+    """Block results of every (variant, horizon) of one scored table, from the first refit on."""
+    out = None
+    for h in horizons:
+        own = scores.where(F.col("horizon") == h)
+        part = model_pnls(own, h, start, k, by=("variant", "horizon"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def score_history(scores: DataFrame, k: int = TOPK, by: Sequence[str] = ()) -> DataFrame:
+    """Every scored session with rank percentile and lean, wide sections only. ``by`` names further keys
+    of a section."""
+    section = ["panel_id", *by, "session"]
+    wide = scores.groupBy(*section).agg(F.count("score").alias("__n")).filter(F.col("__n") >= 2 * k + 1)
+    rows = scores.join(wide.drop("__n"), section, "left_semi")
+    return leans(rows, "score", k, section)

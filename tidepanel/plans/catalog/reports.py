@@ -157,14 +157,6 @@ def k08(v: Views):
     return rp.gate_document(*_documents(v))
 
 
-@query("k09_score_export", sql("bars", """
-SELECT count(*) AS rows, count(DISTINCT instrument) AS assets, min(session) AS date_start,
-  max(session) AS date_end FROM bars"""))
-def k09(v: Views):
-    scores = v.bars().select(F.col("instrument").alias("asset"), F.col("session").alias("date"))
-    return st.export_summary(scores)
-
-
 _BOARD = """SELECT strategy, count(*) AS n, round(avg(pnl), 6) AS mean_pnl,
   round(avg((pnl > 0)::INT), 6) AS hit FROM pnls GROUP BY 1"""
 

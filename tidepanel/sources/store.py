@@ -52,11 +52,23 @@ def append_scorecard(scores: DataFrame, path: str, run_id: str) -> None:
         "run_id").parquet(path)
 
 
-def export_summary(scores: DataFrame) -> DataFrame:
-    """Row, asset and date range summary of an export, in one pass."""
-    return scores.agg(F.count(F.lit(1)).alias("rows"),
-                      F.count_distinct("asset").alias("assets"),
-                      F.min("date").alias("date_start"), F.max("date").alias("date_end"))
+def export_scores(spark: SparkSession, path: str, scores: DataFrame) -> DataFrame:
+    """Write scores by horizon and fold; only the partitions that ``scores`` has are replaced, so a rerun of a
+    fold changes nothing else. Returns the whole export as it now is."""
+    columns = ["panel_id", "session", "instrument", "score", "rank_pct", "lean", "horizon", "fold"]
+    (scores.select(*columns).repartition("horizon", "fold").sortWithinPartitions("session", "instrument")
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("horizon", "fold").parquet(path))
+    return spark.read.parquet(path)
+
+
+def export_metadata(written: DataFrame, min_train: int, refit_every: int = 126) -> DataFrame:
+    """One row per horizon of an export, read from the written table: rows, assets, fits, range."""
+    return written.groupBy("horizon").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("instrument").alias("assets"),
+        F.count_distinct("fold").alias("fits"), F.min("session").alias("date_start"),
+        F.max("session").alias("date_end"), F.count_if(F.col("lean") != 0).alias("legs")).withColumns(
+        {"min_train": F.lit(min_train), "refit_every": F.lit(refit_every)})
 
 
 def with_staleness(states: DataFrame, now, limit_days: int) -> DataFrame:
