@@ -46,18 +46,26 @@ def s01(v: Views):
 
 
 @query("s02_symbol_from_file", sql("bars", """
-SELECT upper(instrument) AS instrument, count(*) AS n, round(sum(close), 4) AS total
-FROM bars GROUP BY 1"""))
+SELECT 'all' AS scan, instrument, count(*) AS n, round(sum(close), 4) AS total FROM bars GROUP BY 2 UNION ALL
+SELECT 'first 5', instrument, count(*), round(sum(close), 4) FROM bars
+WHERE instrument IN (SELECT DISTINCT instrument FROM bars ORDER BY 1 LIMIT 5) GROUP BY 2"""))
 def s02(v: Views):
-    path = env.scratch_path(v.spark, "symbols")
-    v.bars().select("session", "close", F.lower("instrument").alias("symbol")).write.partitionBy(
-        "symbol").option("header", "true").csv(path)
-    rows = v.spark.read.schema("session date, close double").option("header", "true").option(
-        "recursiveFileLookup", "true").csv(path)
-    stem = F.regexp_extract("_metadata.file_path", r"symbol=([^/]+)/", 1)
-    rows = rows.select("*", F.upper(stem).alias("instrument"))
-    return rows.groupBy("instrument").agg(F.count("*").alias("n"),
-                                          F.round(F.sum("close"), 4).alias("total"))
+    """Files named by symbol, scanned whole and with a limit on the symbols."""
+    staged = env.scratch_path(v.spark, "by-symbol")
+    rows = v.bars().select("session", "close", F.lower("instrument").alias("symbol"))
+    rows.repartition("symbol").write.partitionBy("symbol").option("header", "true").csv(staged)
+    folder = env.scratch_path(v.spark, "symbols")
+    for name in env.child_names(v.spark, staged):
+        if name.startswith("symbol="):
+            part = next(n for n in env.child_names(v.spark, f"{staged}/{name}") if n.endswith(".csv"))
+            env.move_file(v.spark, f"{staged}/{name}/{part}", f"{folder}/{name.split('=')[1]}.csv")
+    out = None
+    for label, limit in (("all", None), ("first 5", 5)):
+        found = ld.read_symbol_files(v.spark, folder, "session date, close double", limit=limit)
+        part = found.groupBy(F.lit(label).alias("scan"), "instrument").agg(
+            F.count("*").alias("n"), F.round(F.sum("close"), 4).alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("s03_close_panel", sql("grid", """

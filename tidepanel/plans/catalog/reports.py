@@ -12,7 +12,7 @@ from tidepanel.operators import merge as mg
 from tidepanel.operators import strategies as stg
 from tidepanel.plans import reports as rp
 from tidepanel.plans.catalog.alignment import _LIQ, _RATES
-from tidepanel.plans.catalog.rules import _STORIES, _SURF, _state
+from tidepanel.plans.catalog.rules import _TALLY, _VOTES
 from tidepanel.plans.catalog.strategies import _EVENTS, _event_pnls
 from tidepanel.plans.oracle import sql
 from tidepanel.plans.registry import query
@@ -21,7 +21,7 @@ from tidepanel.plans.views import PRIORITY_ASSETS, Views
 from tidepanel.schemas import POSITIONS, names
 from tidepanel.sources import landing as ld
 from tidepanel.sources import store as st
-from tidepanel.universe import FOCUS, MACRO_FORCE, STORIES
+from tidepanel.universe import FOCUS, MACRO_FORCE
 
 
 def r(name: str, digits: int = 6):
@@ -45,16 +45,6 @@ def k02(v: Views):
     return out.select("asset", "report_date", "net_pct")
 
 
-@query("k03_panel_coverage", sql("bars cal", """
-SELECT "column", n, first, last, round_even(1 - n / (SELECT count(*) FROM cal), 4) AS pct_null FROM (
-""" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS n,
-  min(session) FILTER ({c} IS NOT NULL) AS first, max(session) FILTER ({c} IS NOT NULL) AS last
-  FROM surf""" for c in ("vix", "rv20", "vrp", "vrp_pct", "term_ratio")) + ")", **_SURF))
-def k03(v: Views):
-    from tidepanel.plans.registries import coverage
-    return coverage(State(v).vol(), ["vix", "rv20", "vrp", "vrp_pct", "term_ratio"])
-
-
 @query("k04_publish_positions", sql("feats", """
 SELECT asset, report_date, round_even(net_pct, 4) AS net_pct_oi, round_even(z156, 2) AS z156,
   round_even(idx52, 2) AS idx52, round_even(chg4w, 4) AS chg4w,
@@ -197,54 +187,15 @@ def k13(v: Views):
     return p.select("effective_date", *[r(a) for a in _ASSETS])
 
 
-_IDS = [s[0] for s in STORIES]
-
-
-@query("k14_history_report", sql("panel", "SELECT CAST(session AS VARCHAR) AS as_of, " + ", ".join(
-    f"max(state) FILTER (story = '{i}') AS {i}" for i in _IDS) + """,
-  CAST(count(*) FILTER (state = 'BROKEN') AS INT) AS n_fired,
-  coalesce(string_agg(story, ', ' ORDER BY story) FILTER (state = 'BROKEN'), '(none)') AS fired
-FROM (SELECT session, story, """ + _state("corr_fast") + """ AS state FROM hist) GROUP BY session
-ORDER BY session DESC LIMIT 500""", **_STORIES))
-def k14(v: Views):
-    """A log row per session (broken stories as its fired list), landed and read back."""
-    log = State(v).stories().groupBy("session").agg(
-        F.map_from_entries(F.collect_list(F.struct("story", "state"))).alias("stories"),
-        F.sort_array(F.collect_set(F.when(F.col("state") == "BROKEN", F.col("story"))))
-        .alias("fired"))
-    log = log.select(F.col("session").cast("string").alias("as_of"), "fired",
-                     F.array().cast("array<string>").alias("crowded_long"), "stories")
-    path = env.scratch_path(v.spark, "log")
-    log.write.json(path)
-    return rp.log_report(ld.read_log(v.spark, path), _IDS).drop("crowded_long")
-
-
-@query("k15_focus_report")
+@query("k15_focus_report", sql("bars", "SELECT instrument, session, price, confluence, unnest([" + ", ".join(
+    f"'{n}'" for n in ly.LAYERS) + f"]) AS layer, unnest({_VOTES}) AS verdict FROM (" + """SELECT *, concat(n_bullish, 'B / ',
+  n_bearish, 'Br / ', n_no_data, 'ND') AS confluence FROM tally WHERE instrument IN (""" + ", ".join(
+    f"'{n}'" for n in FOCUS) + ") QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY session DESC) = 1)",
+    **_TALLY))
 def k15(v: Views):
     return rp.focus_report(State(v).layers(), FOCUS, ly.LAYERS)
 
 
-@query("k16_latest_state", sql("bars cal", " UNION ALL ".join(
-    f"SELECT session, '{b}' AS block, '{c}' AS metric, round({c}, 6) AS value FROM l"
-    for b, c in (("VOLATILITY", "vix"), ("VOLATILITY", "rv20"), ("TERM", "term_ratio"),
-                 ("TERM", "term_stale_days"))), **_SURF,
-    l="SELECT * FROM surf WHERE session = (SELECT max(session) FROM surf WHERE vix IS NOT NULL)"))
-def k16(v: Views):
-    vol = State(v).vol()
-    last = vol.filter("vix is not null").groupBy("panel_id").agg(F.max("session").alias("session"))
-    row = vol.join(last, ["panel_id", "session"])
-    out = rp.state_report(row, {"VOLATILITY": ["vix", "rv20"],
-                                "TERM": ["term_ratio", "term_stale_days"]})
-    return out.select("session", "block", "metric", r("value"))
-
-
-@query("k17_series_history", sql("bars cal", """
-SELECT session, round(vix, 6) AS vix, round(vrp, 4) AS vrp, round(vvix, 6) AS vvix FROM surf""", **_SURF))
-def k17(v: Views):
-    return State(v).vol().select(
-        "session", r("vix"), r("vrp", 4), r("vvix")).orderBy("session")
-
-
 @query("k10_top_books", sql("grid", """
 SELECT strategy, n, mean_pnl, hit FROM s ORDER BY mean_pnl DESC, strategy LIMIT 10""",
     pnls=_EVENTS, s=_BOARD))
@@ -255,20 +206,13 @@ def k10_top(v: Views):
 
 
 @query("a13_verdict_tally", sql("bars", """
-SELECT instrument, session, (c > o)::INT + (h > o)::INT AS n_bullish,
-  (c <= o)::INT + (h <= o)::INT AS n_bearish FROM (SELECT instrument, session, close AS c, open AS o,
-  high AS h FROM bars)"""))
+SELECT instrument, session, n_bullish, n_bearish, n_neutral, n_no_data FROM tally""", **_TALLY))
 def a13(v: Views):
-    """Verdicts of several layers unpivoted and counted."""
-    c, o = F.col("close"), F.col("open")
-    b = v.bars().select("instrument", "session",
-                        F.when(c > o, "bullish").otherwise("bearish").alias("body"),
-                        F.when(F.col("high") > o, "bullish").otherwise("bearish").alias("wick"))
-    votes = b.select("instrument", "session", F.array("body", "wick").alias("v"))
-
-    def tally(k: str):
-        return F.size(F.filter("v", lambda x: x == k)).alias(f"n_{k}")
-    return votes.select("instrument", "session", tally("bullish"), tally("bearish"))
+    """Verdicts of the twelve layers of each instrument and session, unpivoted and counted."""
+    rows = State(v).layers().unpivot(["instrument", "session"], ly.LAYERS, "layer", "verdict")
+    return rows.groupBy("instrument", "session").agg(*[
+        F.count_if(F.col("verdict") == k).cast("int").alias(f"n_{k.lower()}")
+        for k in ("bullish", "bearish", "neutral", "NO_DATA")])
 
 
 @query("a04_pooled_by_date", sql("grid", """
@@ -277,7 +221,9 @@ def a04(v: Views):
     return stg.pool(_event_pnls(v)).select("session", r("pnl"))
 
 
-@query("a14_frame_summary")
+@query("a14_frame_summary", sql("bars", """
+SELECT session, count(*) AS n_assets, round(avg(n_bullish), 6) AS mean_bullish, round(avg(n_bearish), 6) AS mean_bearish,
+  round(avg(n_no_data), 6) AS mean_no_data FROM tally GROUP BY 1""", **_TALLY))
 def a14(v: Views):
     """Size and mean verdict counts of the layer frame, per session."""
     return State(v).layers().groupBy("session").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepanel.functions import calendar as tc
 from tidepanel.functions import frames as fr
 from tidepanel.functions import scalars as sc
 from tidepanel.operators import histories as hs
@@ -13,7 +14,7 @@ from tidepanel.plans.catalog.alignment import _FLOWS, _LIQ, _RATES
 from tidepanel.plans.catalog.rolling import _ROWS
 from tidepanel.plans.catalog.sections import _SRC, _gap_ewm
 from tidepanel.plans.oracle import sql
-from tidepanel.plans.registry import query
+from tidepanel.plans.registry import query, reference
 from tidepanel.plans.state import STORY_LEGS, SURFACE, State
 from tidepanel.plans.views import Views
 from tidepanel.universe import CONDITION_IDS, FLOW_FUNDS, FUND_TICKER, STORIES
@@ -348,7 +349,26 @@ def r13(v: Views):
     return ly.risk(v.bars_numbered()).select("instrument", "session", "risk", r("rv_pct"))
 
 
-@query("r05_layer_frame")
+_PARTS = {"trend": "r06_trend_layer", "momentum": "r07_momentum_layer", "volume_layer": "r08_volume_layer",
+          "rel_strength": "r05_relative_strength", "positioning": "r10_positioning_layer", "macro": "r11_macro_layer",
+          "risk": "r13_risk_layer", "narrative": "r12_narrative_layer"}
+_FRAME = ("SELECT b.instrument, b.session, b.close AS price, " + ", ".join(
+    f"coalesce({'volume_layer' if n == 'volume' else n}, '{'neutral' if n == 'narrative' else 'NO_DATA'}') AS {n}"
+    for n in ly.LAYERS if n not in ("valuation", "fundamentals"))
+    + ", 'NO_DATA' AS valuation, 'NO_DATA' AS fundamentals FROM bars b" + "".join(
+    f" LEFT JOIN (SELECT instrument, session, {c} FROM ({reference(q)})) USING (instrument, session)"
+    for c, q in _PARTS.items())
+    + f" LEFT JOIN ({reference('r05_breadth_layer')}) USING (session)"
+    + f" LEFT JOIN ({reference('r09_flows_layer')}) USING (instrument)")
+_VOTES = "[" + ", ".join(ly.LAYERS) + "]"
+_TALLY = dict(frame=_FRAME, tally="SELECT *" + "".join(
+    f", CAST(len(list_filter({_VOTES}, lambda e: e = '{k}')) AS INT) AS n_{k.lower()}"
+    for k in ("bullish", "bearish", "neutral", "NO_DATA")) + " FROM frame")
+
+
+@query("r05_layer_frame", sql("bars", "SELECT instrument, session, price, " + ", ".join(ly.LAYERS) + """,
+  n_bullish, n_bearish, n_neutral, n_no_data, concat(n_bullish, 'B / ', n_bearish, 'Br / ', n_no_data, 'ND') AS confluence
+FROM tally""", **_TALLY))
 def r05(v: Views):
     """Twelve verdicts and the tally per instrument and session."""
     return State(v).layers().select("instrument", "session", "price", *ly.LAYERS, "n_bullish",
@@ -357,32 +377,55 @@ def r05(v: Views):
 
 # --- options and decisions ---------------------------------------------------
 
+SPREAD_WIDTH = 2.0
+
+
 def _desk(v: Views):
+    """Sessions with a spot, a level and a premium rank, met with the listed expiry of their trade."""
     vol = State(v).vol().filter("spy is not null and vix is not null and vrp_pct is not null")
-    years = F.lit(35 / 365.0)
-    sigma = F.col("vix") / 100
-    return vol.select("panel_id", "session", F.col("spy").alias("spot"), sigma.alias("sigma"),
-                      years.alias("years"), "vrp_pct", F.col("vix_pct").alias("magnitude_pct"))
-
-
-@query("c09_option_estimates", sql("bars cal", """
-SELECT session, round(d1p - 1, 6) AS delta, round(strike, 4) AS strike FROM (
- SELECT session, strike, 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(
-  range(0, 120), lambda k: sign(z) * exp((2 * k + 1) * ln(greatest(abs(z), 1e-300))
-   - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))) AS d1p
- FROM (SELECT session, strike, (ln(spy / strike) + (0.04 + sg * sg / 2) * t) / (sg * sqrt(t)) AS z
-  FROM (SELECT session, spy, vix / 100 AS sg, 35 / 365.0 AS t, round_even(least(greatest(spy * exp((0.04
-    + vix / 100 * vix / 100 / 2) * 35 / 365.0 - 0.5244005127080407 * vix / 100 * sqrt(35 / 365.0)),
-    spy * 0.5), spy * 1.1), 0) AS strike
-   FROM surf WHERE spy IS NOT NULL AND vix IS NOT NULL AND vrp_pct IS NOT NULL)))""", **_SURF))
+    expiry = tc.monthly_expiry("session")
+    return vol.select("panel_id", "session", F.col("spy").alias("spot"), (F.col("vix") / 100).alias("sigma"),
+                      expiry.alias("expiry"), (F.datediff(expiry, "session") / 365.0).alias("years"), "vrp_pct",
+                      F.col("vix_pct").alias("magnitude_pct"))
+
+
+def _phi(z: str) -> str:
+    """Normal distribution of a column, as the series about zero, held to [-8, 8]."""
+    x = f"greatest(least({z}, 8.0), -8.0)"
+    return (f"greatest(least(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * sign({x}) * list_sum(list_transform(range(0, 150), "
+            f"lambda k: exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))), "
+            "1.0), 0.0)")
+
+
+def _put(strike: str) -> str:
+    d1 = f"((ln(spot / {strike}) + (0.04 + sg * sg / 2) * t) / (sg * sqrt(t)))"
+    return f"({strike} * exp(-0.04 * t) * {_phi(f'-({d1} - sg * sqrt(t))')} - spot * {_phi(f'-{d1}')})"
+
+
+_DESK = dict(
+    _SURF, desk="""SELECT session, spot, sg, e AS expiry, (e - session) / 365.0 AS t, pct, mag, round_even(least(greatest(
+        spot * exp((0.04 + sg * sg / 2) * (e - session) / 365.0 - 0.5244005127080407 * sg * sqrt((e - session) / 365.0)),
+        spot * 0.5), spot * 1.1), 0) AS strike
+      FROM (SELECT session, spy AS spot, vix / 100 AS sg, vrp_pct AS pct, vix_pct AS mag,
+        session + 35 + CAST((12 - isodow(session + 35)) % 7 AS INT) AS e
+        FROM surf WHERE spy IS NOT NULL AND vix IS NOT NULL AND vrp_pct IS NOT NULL)""")
+
+
+@query("c09_option_estimates", sql("bars cal", f"""
+SELECT session, expiry, round(strike, 4) AS strike, round({_phi("(ln(spot / strike) + (0.04 + sg * sg / 2) * t) / (sg * sqrt(t))")}
+  - 1, 6) AS delta, round({_put("strike")}, 4) AS put, round(2 * {_put("round_even(spot, 0)")} + spot
+  - round_even(spot, 0) * exp(-0.04 * t), 4) AS straddle FROM desk""", **_DESK))
 def c09(v: Views):
-    d = _desk(v).withColumn("strike", sc.strike_for_delta("spot", "sigma", "years"))
-    return d.select("session", F.round(sc.put_delta("spot", "strike", "sigma", "years"), 6)
-                    .alias("delta"), F.round("strike", 4).alias("strike"))
+    """Strike of the target delta, its delta and price, and the straddle at the money, at each session's expiry."""
+    d = _desk(v).withColumn("strike", sc.strike_for_delta("spot", "sigma", "years")).withColumn("at", F.bround("spot", 0))
+    return d.select("session", "expiry", F.round("strike", 4).alias("strike"),
+                    F.round(sc.put_delta("spot", "strike", "sigma", "years"), 6).alias("delta"),
+                    F.round(sc.put_price("spot", "strike", "sigma", "years"), 4).alias("put"),
+                    F.round(sc.straddle_price("spot", "at", "sigma", "years"), 4).alias("straddle"))
 
 
 def decide(d):
-    """Ordered decision table over premium, shift and magnitude readings."""
+    """Ordered decision table over premium, shift and magnitude readings; the chosen structure with its estimates."""
     pct, mag = F.col("vrp_pct"), F.col("magnitude_pct")
     calm5, calm21, erupt = (sc.truthy(F.col(c)) for c in ("calm_5d", "calm_21d", "eruption"))
     rules = [
@@ -396,19 +439,37 @@ def decide(d):
     for cond, a, why in reversed(rules):
         action, reason = F.when(cond, a).otherwise(action), F.when(cond, why).otherwise(reason)
     d = d.withColumns({"action": action, "reason": reason})
-    short = sc.strike_for_delta("spot", "sigma", "years")
-    d = d.withColumn("short_strike", F.when(F.col("action") == "SELL_PUT_SPREAD", short))
-    d = d.withColumn("long_strike", F.col("short_strike") - 2.0)
-    credit = (sc.put_price("spot", "short_strike", "sigma", "years")
-              - sc.put_price("spot", "long_strike", "sigma", "years"))
-    at = F.when(F.col("action") == "LONG_VOL", F.bround("spot", 0))
-    debit = sc.straddle_price("spot", at, "sigma", "years")
-    return d.withColumns({"est_credit": F.bround(credit, 2), "est_debit": F.bround(debit, 2),
-                          "max_risk_usd": F.bround((2.0 - credit) * 100, 0)})
-
-
-@query("c10_decisions", sql("bars cal", """
-SELECT session, CASE WHEN st THEN 'NO_TRADE' WHEN er AND c21 AND pct < 0.6 THEN 'LONG_VOL'
+    d = d.withColumns({"short": sc.strike_for_delta("spot", "sigma", "years"), "at": F.bround("spot", 0)})
+    d = d.withColumn("long", F.col("short") - SPREAD_WIDTH)
+    credit = sc.put_price("spot", "short", "sigma", "years") - sc.put_price("spot", "long", "sigma", "years")
+    d = d.withColumns({"credit": credit, "debit": sc.straddle_price("spot", "at", "sigma", "years")})
+    spread, straddle = F.col("action") == "SELL_PUT_SPREAD", F.col("action") == "LONG_VOL"
+    none = F.lit(None).cast("double")
+    structure = F.when(spread | straddle, F.struct(
+        F.when(spread, "put_credit_spread").otherwise("straddle").alias("type"),
+        F.when(spread, "sell").otherwise("buy").alias("side"), F.lit(1).alias("lots"),
+        F.when(straddle, F.col("at")).otherwise(none).alias("strike"),
+        F.when(spread, F.col("short")).otherwise(none).alias("short_strike"),
+        F.when(spread, F.col("long")).otherwise(none).alias("long_strike"),
+        F.when(spread, F.bround("credit", 2)).otherwise(none).alias("est_credit"),
+        F.when(straddle, F.bround("debit", 2)).otherwise(none).alias("est_debit"),
+        F.when(spread, F.bround((SPREAD_WIDTH - F.col("credit")) * 100, 0)).otherwise(
+            F.bround(F.col("debit") * 100, 0)).alias("max_risk_usd"),
+        F.when(straddle, F.bround(F.col("debit") / F.col("spot") * 100, 2)).otherwise(none).alias("breakeven_move_pct")))
+    return d.withColumn("structure", structure)
+
+
+@query("c10_decisions", sql("bars cal", f"""
+SELECT session, expiry, action, reason, CASE action WHEN 'SELL_PUT_SPREAD' THEN 'put_credit_spread' WHEN 'LONG_VOL' THEN 'straddle'
+  END AS type, CASE WHEN action = 'LONG_VOL' THEN atm END AS strike, CASE WHEN action = 'SELL_PUT_SPREAD' THEN strike END
+  AS short_strike, CASE WHEN action = 'SELL_PUT_SPREAD' THEN strike - 2 END AS long_strike,
+  CASE WHEN action = 'SELL_PUT_SPREAD' THEN round_even(credit, 2) END AS est_credit,
+  CASE WHEN action = 'LONG_VOL' THEN round_even(debit, 2) END AS est_debit,
+  CASE action WHEN 'SELL_PUT_SPREAD' THEN round_even((2 - credit) * 100, 0) WHEN 'LONG_VOL' THEN round_even(debit * 100, 0) END
+  AS max_risk_usd, CASE WHEN action = 'LONG_VOL' THEN round_even(debit / spot * 100, 2) END AS breakeven_move_pct
+FROM (SELECT *, {_put("strike")} - {_put("(strike - 2)")} AS credit, round_even(spot, 0) AS atm,
+  2 * {_put("round_even(spot, 0)")} + spot - round_even(spot, 0) * exp(-0.04 * t) AS debit,
+  CASE WHEN st THEN 'NO_TRADE' WHEN er AND c21 AND pct < 0.6 THEN 'LONG_VOL'
   WHEN er THEN 'NO_TRADE' WHEN c5 AND pct >= 0.7 AND mag >= 0.7 THEN 'NO_TRADE'
   WHEN c5 AND pct >= 0.7 THEN 'SELL_PUT_SPREAD' ELSE 'NO_TRADE' END AS action,
   CASE WHEN st THEN 'shift detector stale' WHEN er AND c21 AND pct < 0.6 THEN
@@ -416,11 +477,12 @@ SELECT session, CASE WHEN st THEN 'NO_TRADE' WHEN er AND c21 AND pct < 0.6 THEN
   'eruption predicted but vol too rich to buy' WHEN c5 AND pct >= 0.7 AND mag >= 0.7 THEN
   'rich but big-move regime' WHEN c5 AND pct >= 0.7 THEN 'calm, no eruption, premium rich'
   ELSE 'no edge' END AS reason
-FROM (SELECT session, vrp_pct AS pct, vix_pct AS mag, day(session) % 7 = 0 AS st,
-  day(session) % 5 = 1 AS er, month(session) % 2 = 0 AS c21, day(session) % 3 <> 0 AS c5
-  FROM surf WHERE spy IS NOT NULL AND vix IS NOT NULL AND vrp_pct IS NOT NULL)""", **_SURF))
+FROM (SELECT *, day(session) % 7 = 0 AS st, day(session) % 5 = 1 AS er, month(session) % 2 = 0 AS c21,
+  day(session) % 3 <> 0 AS c5 FROM desk))""", **_DESK))
 def c10(v: Views):
+    """The ticket of each session: action, reason and the priced structure."""
     day = F.dayofmonth("session")
     d = _desk(v).withColumns({"shift_stale": day % 7 == 0, "eruption": day % 5 == 1,
                               "calm_21d": F.month("session") % 2 == 0, "calm_5d": day % 3 != 0})
-    return decide(d).select("session", "action", "reason")
+    parts = ("type", "strike", "short_strike", "long_strike", "est_credit", "est_debit", "max_risk_usd", "breakeven_move_pct")
+    return decide(d).select("session", "expiry", "action", "reason", *[F.col(f"structure.{c}").alias(c) for c in parts])

@@ -236,8 +236,9 @@ def registry_report(panel: DataFrame, returns: DataFrame, instruments: Sequence[
 
 
 def coverage(panel: DataFrame, names: Sequence[str]) -> DataFrame:
-    """n, first and last session and share missing of every column, in one pass."""
-    rows = panel.unpivot(["session"], list(names), "column", "value")
+    """n, first and last session and share missing of every column, of any type, in one pass."""
+    as_text = panel.select("session", *[F.col(c).cast("string").alias(c) for c in names])
+    rows = as_text.unpivot(["session"], list(names), "column", "value")
     total = F.count(F.lit(1))
     return rows.groupBy("column").agg(
         F.count("value").alias("n"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidepanel.plans.views import Views
 
 MODULES = ["ingest", "alignment", "rolling", "sections", "matrices", "rules",
-           "strategies", "studies", "reports", "model", "streams"]
+           "strategies", "studies", "latest", "reports", "model", "streams"]
 _PLANS: dict[str, Callable[[Views], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -26,6 +26,11 @@ def query(name: str, reference: str | None = None):
     return register
 
 
+def reference(name: str) -> str:
+    """Reference SQL of a query registered before, for use as a subquery."""
+    return _SQL[name]
+
+
 def _load() -> None:
     for m in MODULES:
         import_module(f"tidepanel.plans.catalog.{m}")

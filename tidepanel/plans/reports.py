@@ -76,16 +76,25 @@ def positioning_pivot(features: DataFrame, assets: Sequence[str]) -> DataFrame:
     return features.groupBy("effective_date").pivot("asset", list(assets)).agg(F.avg("idx52"))
 
 
-def log_report(log: DataFrame, story_ids: Sequence[str], limit: int = 500) -> DataFrame:
-    """Last rows of the state log, maps to columns and lists to text."""
-    def text(c: str) -> Column:
-        return F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("(none)")
-    out = log.select("as_of", *[F.col("stories")[s].alias(s) for s in story_ids],
-                     F.size("fired").alias("n_fired"), text("fired").alias("fired"),
-                     text("crowded_long").alias("crowded_long"))
+def _joined(c: str) -> Column:
+    return F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("(none)")
+
+
+def log_report(log: DataFrame, limit: int = 500) -> DataFrame:
+    """Last rows of the state log by ``as_of``: a column for each story that the log's maps hold (found at run
+    time; there are as many as registered stories), lists to text."""
+    found = [r[0] for r in log.select(F.explode(F.map_keys("stories"))).distinct().orderBy("col").collect()]
+    out = log.select("as_of", *[F.col("stories")[s].alias(s) for s in found], F.size("fired").alias("n_fired"),
+                     *[_joined(c).alias(c) for c in ("fired", "crowded_long", "crowded_short")])
     return out.orderBy(F.col("as_of").desc()).limit(limit)
 
 
+def fire_log(log: DataFrame, limit: int = 400) -> DataFrame:
+    """The last appended rows, in the order of their appends (not of their sessions)."""
+    return log.select("as_of", "generated_at", _joined("fired").alias("fired")).orderBy(
+        F.col("generated_at").desc(), F.col("as_of").desc()).limit(limit)
+
+
 def focus_report(frame: DataFrame, names: Sequence[str], layers: Sequence[str]) -> DataFrame:
     """One row per (instrument, layer) of the latest session of each focus name."""
     focus = frame.filter(F.col("instrument").isin(list(names)))
@@ -94,9 +103,44 @@ def focus_report(frame: DataFrame, names: Sequence[str], layers: Sequence[str])
                         "verdict")
 
 
-def state_report(row: DataFrame, blocks: dict[str, Sequence[str]]) -> DataFrame:
-    """(block, metric, value) rows of a one-session frame."""
-    cells = [F.struct(F.lit(b).alias("block"), F.lit(c).alias("metric"),
-                      F.col(c).cast("double").alias("value")) for b, cs in blocks.items()
-             for c in cs]
-    return row.select("session", F.explode(F.array(*cells)).alias("x")).select("session", "x.*")
+#: Days after which an input of the latest state counts as stale.
+STALE_DAYS = {"VOLATILITY": 5, "POSITIONING": 14, "FUNDING": 5, "LIQUIDITY": 10, "STRUCTURE": 5, "CONDITIONS": 5}
+CELL = "array<struct<metric: string, value: double, text: string>>"
+
+
+def cells(figures: dict[str, Column], texts: dict[str, Column] | None = None) -> Column:
+    """(metric, value, text) entries of one row: figures as numbers, texts as they are."""
+    none = F.lit(None)
+    made = [F.struct(F.lit(k).alias("metric"), c.cast("double").alias("value"), none.cast("string").alias("text"))
+            for k, c in figures.items()]
+    made += [F.struct(F.lit(k).alias("metric"), none.cast("double").alias("value"), c.alias("text"))
+             for k, c in (texts or {}).items()]
+    return F.array(*made)
+
+
+def latest_block(rows: DataFrame, now: DataFrame, block: str, day: str, entries: Column, have: Column,
+                 by: tuple[str, ...] = ("panel_id",)) -> DataFrame:
+    """The entries of each key's last usable row known on the panel's last session, with the row's day and age."""
+    known = rows.join(now, "panel_id").where(have & (F.col(day) <= F.col("now")))
+    last = latest_per_key(known, list(by), [day])
+    return last.select("panel_id", "now", F.lit(block).alias("block"), F.col(day).alias("as_of"),
+                       F.explode(entries).alias("x")).select("panel_id", "now", "block", "as_of", "x.*")
+
+
+def latest_state(blocks: dict[str, DataFrame], now: DataFrame) -> DataFrame:
+    """All blocks as long rows, each with the age of its own input, and a STALE INPUTS block: an input that is
+    missing or older than its limit reads 1, and its block says nothing else."""
+    rows = None
+    for name, part in blocks.items():
+        rows = part if rows is None else rows.unionByName(part)
+    age = F.datediff("now", "as_of")
+    limit = F.create_map(*[F.lit(x) for kv in STALE_DAYS.items() for x in kv])
+    rows = rows.withColumns({"age_days": age, "stale": age > limit[F.col("block")]})
+    ages = rows.groupBy("panel_id", "block").agg(F.max("as_of").alias("as_of"), F.min("age_days").alias("age_days"))
+    asked = now.select("panel_id", F.explode(F.array(*map(F.lit, STALE_DAYS))).alias("block"))
+    late = asked.join(ages, ["panel_id", "block"], "left").select(
+        "panel_id", F.lit("STALE INPUTS").alias("block"), "as_of", F.col("block").alias("metric"),
+        F.coalesce(F.col("age_days") > limit[F.col("block")], F.lit(True)).cast("double").alias("value"),
+        F.lit(None).cast("string").alias("text"), "age_days",
+        F.coalesce(F.col("age_days") > limit[F.col("block")], F.lit(True)).alias("stale"))
+    return rows.drop("now").unionByName(late)

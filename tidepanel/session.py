@@ -52,6 +52,15 @@ def child_names(spark: SparkSession, path: str) -> list[str] | None:
     return [s.getPath().getName() for s in store.listStatus(where)]
 
 
+def move_file(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file of any Hadoop file system."""
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    store = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(new.getParent())
+    if not store.rename(old, new):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage is cut and a
     lost executor costs a re-read, not a recompute."""

@@ -29,11 +29,17 @@ def read_tabular(spark: SparkSession, path: str, schema: StructType | str | None
 
 
 def read_symbol_files(spark: SparkSession, folder: str, schema: StructType | str,
-                      suffix: str = ".csv") -> DataFrame:
-    """One file per symbol; the symbol is the file's stem. One distributed scan."""
+                      suffix: str = ".csv", limit: int | None = None) -> DataFrame:
+    """One file per symbol; the symbol is the file's stem. One distributed scan. A limit on the number of
+    symbols takes the first names in order, and other files are not opened."""
     reader = spark.read.schema(schema).option("pathGlobFilter", f"*{suffix}")
-    rows = (reader.option("header", "true").csv(folder) if suffix == ".csv"
-            else reader.parquet(folder))
+    paths = folder
+    if limit is not None:
+        paths = [f"{folder}/{n}" for n in sorted(child_names(spark, folder) or []) if n.endswith(suffix)][:limit]
+        if not paths:
+            return symbol_of_file(reader.parquet(folder).limit(0), suffix)
+    rows = reader.option("header", "true").csv(paths) if suffix == ".csv" else reader.parquet(
+        *([paths] if isinstance(paths, str) else paths))
     return symbol_of_file(rows, suffix)
 
 
@@ -43,12 +49,6 @@ def symbol_of_file(rows: DataFrame, suffix: str, out: str = "instrument") -> Dat
     return rows.select("*", F.upper(stem).alias(out))
 
 
-def first_symbols(rows: DataFrame, limit: int, key: str = "instrument") -> DataFrame:
-    """Optional limit on the number of symbols (not rows), in name order."""
-    keep = rows.select(key).distinct().orderBy(key).limit(limit)
-    return rows.join(F.broadcast(keep), key, "left_semi")
-
-
 def dump_fields(df: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()
                 ) -> DataFrame:
     """The include list if there is one, else every column not excluded."""

@@ -47,6 +47,14 @@ def update_history(spark: SparkSession, root: str, version: int, fresh: DataFram
     return spark.read.schema(schema).parquet(f"{root}/v={version}")
 
 
+def write_panel(panel: DataFrame, root: str, version: int) -> DataFrame:
+    """The state panel as a versioned product: one folder a version, by year of session, read back."""
+    path = f"{root}/v={version}"
+    (panel.withColumn("year", F.year("session")).repartition("year").sortWithinPartitions("panel_id", "session")
+          .write.mode("overwrite").partitionBy("year").parquet(path))
+    return panel.sparkSession.read.parquet(path).select(*panel.columns)
+
+
 def append_scorecard(scores: DataFrame, path: str, run_id: str) -> None:
     scores.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy(
         "run_id").parquet(path)
