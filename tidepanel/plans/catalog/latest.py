@@ -78,7 +78,7 @@ SELECT "column", n, first, last, round_even(1 - n / (SELECT count(*) FROM cal),
   max(session) FILTER ({c} IS NOT NULL) AS last FROM st""" for c in _COLUMNS) + ")", recursive=True, **_PANEL))
 def k03(v: Views):
     """The panel written as a versioned table, read back, and the coverage of every column of it."""
-    panel = State(v).panel()
+    panel = State(v, keep=True).panel()
     stored = st.write_panel(panel, env.scratch_path(v.spark, "state-panel"), 1)
     return rg.coverage(stored, [c for c in stored.columns if c not in rg.KEYS])
 
@@ -88,7 +88,7 @@ def k03(v: Views):
     for c in _COLUMNS if c not in _EIGEN) + " FROM st", recursive=True, **_PANEL))
 def r14_stated(v: Views):
     """Every column of the state panel but those from eigenvalues."""
-    panel = State(v).panel()
+    panel = State(v, keep=True).panel()
     return panel.select("session", *[
         F.col(c) if c in _TEXTS or c == "vol_term_stale_days" else r(c, 4 if c == "vol_vrp" else 6)
         for c in _COLUMNS if c not in _EIGEN])
@@ -98,7 +98,7 @@ def r14_stated(v: Views):
 
 def _lists(v: Views):
     """Per session: firing conditions (structure left out), crowded names and story states, as a log row holds them."""
-    state = State(v)
+    state = State(v, keep=True)
     fired = state.conditions(with_structure=False).withColumns(ru.condition_columns()).select(
         "panel_id", "session", "sess_no", F.sort_array(ru.fired_list(CONDITION_IDS)).alias("fired"))
     side = state.positions().groupBy("panel_id", "sess_no").agg(
@@ -156,7 +156,7 @@ def k14_fires(v: Views):
 # --- latest state -----------------------------------------------------------------
 
 def _latest(v: Views):
-    state = State(v)
+    state = State(v, keep=True)
     now = v.calendar().groupBy("panel_id").agg(F.max("session").alias("now"))
     vol = rp.latest_block(state.vol(), now, "VOLATILITY", "session", rp.cells(
         {c: F.col(c) for c in ("vix", "vrp", "vrp_pct", "term_ratio", "vvix", "skew", "rv20")},

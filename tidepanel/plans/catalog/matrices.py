@@ -157,7 +157,7 @@ def w35(v: Views):
 
 @query("p08_numeric_registry")
 def p08(v: Views):
-    panel = State(v).panel()
+    panel = State(v, keep=True).panel()
     return rg.numeric_registry(panel).drop("panel_id")
 
 
@@ -190,7 +190,7 @@ def p11(v: Views):
 @query("x09_registry_report")
 def x09(v: Views):
     """Effective dimension of the state panel's readings by scope and mode, and of the whole market."""
-    state = State(v)
+    state = State(v, keep=True)
     dims, _ = rg.registry_report(state.panel(), state.v.panel(), NAMES)
     return dims.drop("panel_id")
 
@@ -198,7 +198,7 @@ def x09(v: Views):
 @query("k18_registry_report")
 def k18(v: Views):
     """The report as long rows: dimensions, episodes, pairs, families, readings."""
-    state = State(v)
+    state = State(v, keep=True)
     _, long = rg.registry_report(state.panel(), state.v.panel(), NAMES)
     return long.select("section", "item", "metric", r("value"))
 
@@ -230,7 +230,7 @@ _KEYED = dict(
 
 
 def _keyed(v: Views):
-    state = State(v)
+    state = State(v, keep=True)
     vol = state.vol().select("panel_id", "session", "sess_no", *[F.col(c).alias(n) for n, c in _SOLID.items()])
     pos = state.positions().groupBy("panel_id", "sess_no").agg(
         F.count_if(ru.is_crowded()).alias("cot_n_crowded"),
@@ -266,7 +266,7 @@ def k18_pairs(v: Views):
 @query("x09_episodes")
 def x09_episodes(v: Views):
     """Independent looks: sessions over the median decorrelation time."""
-    registry = rg.numeric_registry(env.materialise(State(v).panel(), "state"))
+    registry = rg.numeric_registry(env.materialise(State(v, keep=True).panel(), "state"))
     names = rg.with_values(registry)
     rows = rg.long_form(registry.select(*rg.KEYS, *names), names)
     sessions = registry.count()

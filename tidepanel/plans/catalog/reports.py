@@ -193,7 +193,7 @@ def k13(v: Views):
     f"'{n}'" for n in FOCUS) + ") QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY session DESC) = 1)",
     **_TALLY))
 def k15(v: Views):
-    return rp.focus_report(State(v).layers(), FOCUS, ly.LAYERS)
+    return rp.focus_report(State(v, keep=True).layers(), FOCUS, ly.LAYERS)
 
 
 @query("k10_top_books", sql("grid", """
@@ -209,7 +209,7 @@ def k10_top(v: Views):
 SELECT instrument, session, n_bullish, n_bearish, n_neutral, n_no_data FROM tally""", **_TALLY))
 def a13(v: Views):
     """Verdicts of the twelve layers of each instrument and session, unpivoted and counted."""
-    rows = State(v).layers().unpivot(["instrument", "session"], ly.LAYERS, "layer", "verdict")
+    rows = State(v, keep=True).layers().unpivot(["instrument", "session"], ly.LAYERS, "layer", "verdict")
     return rows.groupBy("instrument", "session").agg(*[
         F.count_if(F.col("verdict") == k).cast("int").alias(f"n_{k.lower()}")
         for k in ("bullish", "bearish", "neutral", "NO_DATA")])
@@ -226,7 +226,7 @@ SELECT session, count(*) AS n_assets, round(avg(n_bullish), 6) AS mean_bullish,
   round(avg(n_no_data), 6) AS mean_no_data FROM tally GROUP BY 1""", **_TALLY))
 def a14(v: Views):
     """Size and mean verdict counts of the layer frame, per session."""
-    return State(v).layers().groupBy("session").agg(
+    return State(v, keep=True).layers().groupBy("session").agg(
         F.count("*").alias("n_assets"), *[F.round(F.avg(f"n_{k}"), 6).alias(f"mean_{k}")
                                           for k in ("bullish", "bearish", "no_data")])
 

@@ -184,7 +184,7 @@ def r15(v: Views):
 
 @query("r14_state_panel")
 def r14(v: Views):
-    return State(v).panel().drop("panel_id")
+    return State(v, keep=True).panel().drop("panel_id")
 
 
 # --- layers -----------------------------------------------------------------
@@ -371,7 +371,7 @@ _TALLY = dict(frame=_FRAME, tally="SELECT *" + "".join(
 FROM tally""", **_TALLY))
 def r05(v: Views):
     """Twelve verdicts and the tally per instrument and session."""
-    return State(v).layers().select("instrument", "session", "price", *ly.LAYERS, "n_bullish",
+    return State(v, keep=True).layers().select("instrument", "session", "price", *ly.LAYERS, "n_bullish",
                                     "n_bearish", "n_neutral", "n_no_data", "confluence")
 
 

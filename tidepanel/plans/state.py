@@ -22,12 +22,18 @@ STORY_LEGS = sorted({leg for s in STORIES for leg in (s[1], s[2])})
 
 
 class State:
-    """Plans of one market state; each reading is one plan over the whole history."""
+    """Plans of one market state; each reading is one plan over the whole history.
 
-    def __init__(self, views: Views):
-        self.v = views.settle()
+    With ``keep``, for results that put many readings together, each reading is written once to the
+    shared folder when it is first asked for, so the plans above it stay small.
+    """
+
+    def __init__(self, views: Views, keep: bool = False):
+        self.v, self.keep = views.settle(), keep
 
     def _once(self, key, build):
+        if self.keep:
+            return self.v._once(f"kept:{key}", lambda: env.materialise(build(), key))
         return self.v._once(f"state:{key}", build)
 
     def vol(self) -> DataFrame:
@@ -108,7 +114,9 @@ class State:
         """Wide: volatility, liquidity, funding, structure, breadth, positioning, stories
         and conditions per session. Each block is written once to the shared folder, so
         the joins read finished tables and a lost executor re-reads, not recomputes."""
-        keep = env.materialise
+        def keep(df: DataFrame, label: str) -> DataFrame:
+            return df if self.keep else env.materialise(df, label)
+
         vol = keep(self.vol(), "vol")
         out = vol.select("panel_id", "session", "sess_no", *[
             F.col(c).alias(f"vol_{c}") for c in ("vix", "vrp", "vrp_pct", "vix_pct", "term_ratio",
