@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import boosting as bt
 from tidepanel.operators import gate, model
+from tidepanel.operators import strategies as stg
 from tidepanel.plans import registries as rg
 from tidepanel.plans import reports as rp
 from tidepanel.session import child_names
@@ -278,3 +279,17 @@ def test_trial_pnls_are_top_less_bottom(spark):
     assert sorted(got[got.horizon == 5].sess_no) == [10, 15, 20, 25, 30] and sorted(got[got.horizon == 21].sess_no) == [10]
     assert np.allclose(got.pnl, 0.09 - 2 * 0.0005)
     assert isinstance(got, pd.DataFrame)
+
+
+def test_panels_do_not_meet(spark):
+    """Rows of one report and asset, and results of one strategy, in two panels."""
+    reports = spark.createDataFrame([("a", "099741", "2024-01-02", 5.0, 1.0, 10.0), ("b", "099741", "2024-01-02", 1.0, 5.0, 10.0)],
+                                    "panel_id string, code string, report_date string, nc_long double, nc_short double, oi double")
+    contracts = spark.createDataFrame([("099741", "EURUSD", 1)], "code string, asset string, sign int")
+    got = {r.panel_id: r.net_pct for r in ld.normalise_positions(reports, contracts).collect()}
+    assert got == {"a": 0.4, "b": -0.4}
+    kind = "panel_id string, strategy string, n long, profit_factor double"
+    deep = spark.createDataFrame([("a", "s", 50, 2.0), ("b", "s", 50, 2.0)], kind)
+    recent = spark.createDataFrame([("a", "s", 50, 2.0), ("b", "s", 50, 0.5)], kind)
+    assert {r.panel_id: r.verdict for r in stg.replication(deep, recent).collect()} == {
+        "a": "replicates", "b": "regime-specific"}

@@ -196,6 +196,25 @@ def test_rows_with_a_null_partition_are_kept(spark, tmp_path):
     assert sorted(map(tuple, table.read().collect())) == [(1, None, "new"), (2, DAY, "b"), (3, None, "c")]
 
 
+def test_versions_are_compacted_and_removed(spark, tmp_path):
+    schema = "k int, v int"
+    table = st.KeyedTable(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema, ["k"], F.col("k") % 7,
+                          compact_after=3)
+    want = {}
+    for version in range(1, 9):
+        rows = [(k, version) for k in range(version, version + 3)]
+        want.update(rows)
+        table.upsert(spark.createDataFrame(rows, schema), version)
+        assert dict(map(tuple, table.read().collect())) == want
+        assert len(table.manifest(version)[1]) <= 3
+    before = dict(map(tuple, table.read(7).collect()))
+    table.vacuum(2)
+    assert dict(map(tuple, table.read().collect())) == want and dict(map(tuple, table.read(7).collect())) == before
+    assert len(list((tmp_path / "t").glob("v=*"))) <= 4 and len(list((tmp_path / "t").glob("m=*"))) == 2
+    with pytest.raises(FileNotFoundError):
+        table.read(3)
+
+
 def test_registry_loads_without_a_session():
     """The driver may ask for the reference SQL before it has a session."""
     import subprocess

@@ -402,9 +402,10 @@ def summarise_pnls(pnls: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def replication(deep: DataFrame, recent: DataFrame, least: int = 30) -> DataFrame:
-    """Does a rule that pays recently also pay in the earlier sample?"""
-    now = recent.select("strategy", F.col("profit_factor").alias("pf_recent"))
-    both = deep.join(now, "strategy", "left")
+    """Does a rule that pays recently also pay in the earlier sample (of its own panel, where there are several)?"""
+    key = [c for c in ("panel_id", "strategy") if c in deep.columns and c in recent.columns]
+    now = recent.select(*key, F.col("profit_factor").alias("pf_recent"))
+    both = deep.join(now, key, "left")
     pays = truthy((F.col("profit_factor") > 1.0) & (F.col("pf_recent") > 1.0))
     return both.withColumn("verdict", F.when(F.col("n") < least, "insufficient-history")
                            .when(pays, "replicates").otherwise("regime-specific"))

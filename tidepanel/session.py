@@ -61,6 +61,12 @@ def move_file(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any Hadoop file system, with what is in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage is cut and a
     lost executor costs a re-read, not a recompute."""

@@ -120,16 +120,17 @@ def normalise_positions(rows: DataFrame, contracts: DataFrame, order: Sequence[s
     """Signed net share of open interest per known contract; the last row of a
     (report, asset) wins."""
     known = rows.join(F.broadcast(contracts), "code")
+    panel = ["panel_id"] if "panel_id" in rows.columns else []
     values = [F.col(c).cast("string").try_cast("double").alias(c)
               for c in ("nc_long", "nc_short", "oi")]
-    tidy = known.select("asset", "sign", *order,
+    tidy = known.select(*panel, "asset", "sign", *order,
                         F.to_date(F.col("report_date").cast("string").substr(1, 10))
                         .alias("report_date"), *values)
     tidy = tidy.na.drop("any", subset=["report_date", "nc_long", "nc_short", "oi"]).filter("oi > 0")
     net = F.col("sign") * (F.col("nc_long") - F.col("nc_short")) / F.col("oi")
     tidy = tidy.withColumn("net_pct", net)
-    return keep_one(tidy, ["report_date", "asset"],
-                    list(order) or ["oi"]).select("report_date", "asset", "net_pct", "oi")
+    return keep_one(tidy, [*panel, "report_date", "asset"],
+                    list(order) or ["oi"]).select(*panel, "report_date", "asset", "net_pct", "oi")
 
 
 def parse_rates(texts: DataFrame, text: str = "payload", keys: Sequence[str] = ("series_id",)
