@@ -16,6 +16,7 @@ from tidepanel.functions import frames as fr
 from tidepanel.functions.frames import col
 from tidepanel.functions.scalars import truthy
 from tidepanel.operators.sections import block_rows, top_bottom
+from tidepanel.session import materialise
 from tidepanel.universe import COST_PER_SIDE, LEADER_RULES, SPREAD_PAIRS, TOPK
 
 ONE = ("panel_id",)
@@ -26,7 +27,9 @@ def book_pnls(legs: DataFrame, cost: float = COST_PER_SIDE,
               by: Sequence[str] = ONE) -> DataFrame:
     """PnL of successive books. ``legs`` holds (by, sess_no, session, instrument, weight,
     gross); a book without legs is one row with a NULL instrument. Each leg is emitted
-    with its own book and, negated, with the next: their sum is the trade."""
+    with its own book and, negated, with the next: their sum is the trade. The legs are
+    written once, since books are numbered from them."""
+    legs = materialise(legs.select(*by, "sess_no", "session", "instrument", "weight", "gross"), "legs")
     number = F.row_number().over(Window.partitionBy(*by).orderBy("sess_no"))
     numbers = legs.select(*by, "sess_no").distinct().withColumn("__k", number)
     numbered = legs.join(numbers, [*by, "sess_no"])

@@ -94,6 +94,19 @@ def r14_stated(v: Views):
         for c in _COLUMNS if c not in _EIGEN])
 
 
+_REGISTRY = [c for c in _COLUMNS if c not in (*_EIGEN, *rg.PLUMBING) and (not c.startswith("cot_") or c == "cot_n_crowded")]
+
+
+@query("p08_stated_registry", sql(_READS, "SELECT session, sess_no, " + ", ".join(
+    f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in rg.STORY_CODE.items()) + f" END::DOUBLE AS {c}"
+    if c in _TEXTS else f"round({c}::DOUBLE, {4 if c == 'vol_vrp' else 6}) AS {c}"
+    for c in _REGISTRY) + " FROM st", recursive=True, **_PANEL))
+def p08_stated(v: Views):
+    """The market-level readings as numbers, without those from eigenvalues."""
+    registry = rg.numeric_registry(State(v, keep=True).panel())
+    return registry.select("session", "sess_no", *[r(c, 4 if c == "vol_vrp" else 6) for c in _REGISTRY])
+
+
 # --- log --------------------------------------------------------------------------
 
 def _lists(v: Views):

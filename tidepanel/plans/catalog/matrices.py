@@ -67,8 +67,8 @@ def x04(v: Views):
     return mx.absorption_before(vec).select("sess_no", r("absorption"))
 
 
-@query("x05_average_corr", sql("panel", """
-SELECT s.sess_no, CASE WHEN count(*) >= 10 THEN round(avg(c), 6) END AS avg_corr FROM
+#: Mean correlation of the basket's pairs over the 20 sessions before each one.
+AVERAGE_CORR = """SELECT s.sess_no, CASE WHEN count(*) >= 10 THEN avg(c) END AS avg_corr FROM
  (SELECT sess_no FROM cal WHERE sess_no >= 20) s LEFT JOIN (SELECT sess_no, CASE WHEN sx > 0
    AND sy > 0 THEN c END AS c FROM (SELECT a.sess_no, corr(a.ret, b.ret) OVER w AS c, count(*) OVER w AS n,
    count(a.ret) OVER w AS nx, count(b.ret) OVER w AS ny, stddev_samp(a.ret) OVER w AS sx,
@@ -78,7 +78,11 @@ SELECT s.sess_no, CASE WHEN count(*) >= 10 THEN round(avg(c), 6) END AS avg_corr
     AND b.instrument IN (""" + ", ".join(f"'{n}'" for n in RISK_BASKET) + """)
   WINDOW w AS (PARTITION BY a.instrument, b.instrument ORDER BY a.session
     ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE nx = 20 AND ny = 20) x USING (sess_no)
-GROUP BY 1"""))
+GROUP BY 1"""
+
+
+@query("x05_average_corr", sql("panel", "SELECT sess_no, round(avg_corr, 6) AS avg_corr FROM avg_corr",
+                               avg_corr=AVERAGE_CORR))
 def x05(v: Views):
     vec = mx.pack(v.panel(), RISK_BASKET, "ret")
     return mx.average_corr_before(vec).select("sess_no", r("avg_corr"))

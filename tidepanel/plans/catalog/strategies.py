@@ -13,6 +13,8 @@ from tidepanel.operators import histories as hs
 from tidepanel.operators import matrices as mx
 from tidepanel.operators import sections as xs
 from tidepanel.operators import strategies as stg
+from tidepanel.plans.catalog.alignment import _LIQ
+from tidepanel.plans.catalog.matrices import AVERAGE_CORR
 from tidepanel.plans.oracle import sql
 from tidepanel.plans.registry import query
 from tidepanel.plans.views import BRAND_INSTRUMENTS, Views
@@ -152,7 +154,21 @@ def _vectors(v: Views, names=RISK_BASKET):
     return mx.pack(v.panel(), names, "ret")
 
 
-@query("b10_w11_gated_momentum")
+_GATED = {n: b.format(start=253, hold=21, k=8) for n, b in _BOOK.items() if n != "kept"} | dict(
+    ev="""SELECT session, sess_no, instrument, weight, gross, false AS flat FROM legs JOIN gate USING (sess_no)
+      WHERE gross IS NOT NULL AND open UNION ALL
+      SELECT session, sess_no, '-', 0, 0, true FROM cal JOIN gate USING (sess_no) WHERE NOT open AND sess_no >= 253
+        AND (sess_no - 253) % 21 = 0 AND sess_no < (SELECT count(*) FROM cal) - 21""",
+    marks="""SELECT sess_no, NOT flat OR lag(NOT flat, 1, false) OVER (ORDER BY sess_no) AS stays
+      FROM (SELECT DISTINCT sess_no, flat FROM ev)""",
+    kept="""SELECT ev.*, dense_rank() OVER (ORDER BY sess_no) AS k FROM ev JOIN marks USING (sess_no) WHERE stays""")
+
+
+@query("b10_w11_gated_momentum", sql("carried panel", _TRADES, avg_corr=AVERAGE_CORR, base=_SCORES,
+    gate="""SELECT sess_no, coalesce(avg_corr < CASE WHEN count(avg_corr) OVER w >= 252
+      THEN quantile_cont(avg_corr, 0.5) OVER w END, false) AS open FROM cal LEFT JOIN avg_corr USING (sess_no)
+      WINDOW w AS (ORDER BY sess_no ROWS 251 PRECEDING)""",
+    picked="SELECT instrument, session, sess_no, fwd21 AS f, mom AS s FROM base", **_GATED))
 def b10_w11(v: Views):
     """Momentum only while average correlation is below its yearly median."""
     avg = mx.average_corr_before(_vectors(v))
@@ -370,7 +386,15 @@ def b13(v: Views):
                       pnl6())
 
 
-@query("b14_liquidity_trend")
+@query("b14_liquidity_trend", sql("bars cal levels tga", _SIGNAL.format(
+    start="(SELECT min(sess_no) + 1 FROM sig WHERE chg IS NOT NULL)", hold=21), wide=_WIDE, **{
+        **{"l_" + k if k == "wide" else k: b.replace("FROM wide", "FROM l_wide") for k, b in _LIQ.items()},
+        "met": """SELECT session, sess_no, SPY, netliq_chg13w AS c FROM wide LEFT JOIN liq ON day = session
+          AND netliq IS NOT NULL""",
+        "sig": f"""SELECT *, coalesce(chg > 0, false)::DOUBLE AS pos FROM (SELECT session, sess_no,
+          {_f('SPY', 21)} AS fwd, CASE WHEN sess_no - max(CASE WHEN c IS NOT NULL THEN sess_no END) OVER o <= 5
+          THEN last_value(c IGNORE NULLS) OVER o END AS chg FROM met
+          WINDOW o AS (ORDER BY session ROWS UNBOUNDED PRECEDING))"""}))
 def b14(v: Views):
     """Long while the 13-week liquidity change, carried five sessions, is positive."""
     liq = hs.net_liquidity(v.levels(), ld.resolve_balances(v.balances()))
