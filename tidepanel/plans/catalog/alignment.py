@@ -288,7 +288,7 @@ SELECT session, 'both' FROM bars WHERE instrument = 'BTC' UNION ALL
 (SELECT session, 'spy_only' FROM bars WHERE instrument = 'SPY' EXCEPT
  SELECT session, 'spy_only' FROM bars WHERE instrument = 'BTC')"""))
 def u01(v: Views):
-    b = v.bars()
+    b = v.settle().bars()
     spy = b.filter("instrument = 'SPY'").select("session")
     btc = b.filter("instrument = 'BTC'").select("session")
     both = spy.intersect(btc).withColumn("membership", F.lit("both"))

@@ -434,7 +434,7 @@ def j01(v: Views):
 
 @query("j02_densify_full", sql("grid", "SELECT instrument, session, sess_no, close FROM grid"))
 def j02(v: Views):
-    return ss.densify_full(v.bars(), v.calendar()).select("instrument", "session", "sess_no",
+    return ss.densify_full(v.settle().bars(), v.calendar()).select("instrument", "session", "sess_no",
                                                           "close")
 
 

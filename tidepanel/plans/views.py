@@ -52,15 +52,14 @@ class Views:
             self._plans[key] = build()
         return self._plans[key]
 
-    def settle(self) -> "Views":
+    def settle(self, by: str = "brand") -> "Views":
         """Write the bars once to the shared folder and derive everything else from that
         table. Plans that use the panel more than once scan the raw tables one time."""
         def build():
-            bars = env.materialise(self._bars("brand"), "bars")
-            self._plans.update({"bars:brand": bars, "calendar": ss.session_calendar(bars)})
-            self._plans.pop("panel:brand", None)
+            bars = env.materialise(self._bars(by), "bars")
+            self._plans.update({f"bars:{by}": bars, "calendar": ss.session_calendar(bars)})
             return bars
-        self._once("settled", build)
+        self._once(f"settled:{by}", build)
         return self
 
     def table(self, name: str) -> DataFrame:
@@ -98,7 +97,9 @@ class Views:
                                           F.to_date("l_shipdate").alias("session"))))
 
     def panel(self, by: str = "brand") -> DataFrame:
-        """Bars densified to every session, with the padded one-session return."""
+        """Bars densified to every session, with the padded one-session return. Bars, names
+        and calendar come from one scan."""
+        self.settle(by)
         return self._once(f"panel:{by}", lambda: fr.with_padded_return(
             fr.by_series(ss.densify_full(self.bars(by), self.calendar())), "close", "ret"))
 
@@ -106,10 +107,11 @@ class Views:
         """The panel with every field carried over gaps, for rules that need whole
         windows of prices."""
         fields = ("open", "high", "low", "close", "volume", "factor")
-        return self.settle().panel().withColumns({c: fr.last_valid(c) for c in fields})
+        return self.panel().withColumns({c: fr.last_valid(c) for c in fields})
 
     def bars_numbered(self) -> DataFrame:
         """Bars with their session number, not densified."""
+        self.settle()
         return fr.by_series(self.bars().join(self.calendar(), ["panel_id", "session"]))
 
     def series(self, instrument: str, **columns: str) -> DataFrame:
@@ -120,7 +122,7 @@ class Views:
 
     def wide(self, names: list[str], field: str = "close", carried: bool = False) -> DataFrame:
         """Sessions with one column per name: a pivot over a fixed list."""
-        bars = self.bars().filter(F.col("instrument").isin(names))
+        bars = self.settle().bars().filter(F.col("instrument").isin(names))
         wide = bars.groupBy("panel_id", "session").pivot("instrument", names).agg(F.first(field))
         rows = self.calendar().join(wide, ["panel_id", "session"], "left")
         if carried:
