@@ -18,7 +18,7 @@ import corpus_pipeline
 from tidepanel.llm import (bpe_count, centroid_lang, chat_parts, co_training, queries,
                            shingle_links, simhash_tables, slack_packing, source_mixing, term_topk, vp_dedup, warc)
 from tidepanel.llm.graph import components
-from tidepanel.llm.shared import DOCUMENT_COLUMNS
+from tidepanel.llm.shared import DOCUMENT_COLUMNS, unit_hash
 from tidepanel.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -100,6 +100,48 @@ def test_quality_odd_rows_and_missing_labels(spark, odd, empty):
     assert co_training.score(odd, model).count() == odd.count()
 
 
+def test_views_are_refitted_by_plain_numpy(spark):
+    """Without rounds the model is naive Bayes, a ridge logistic regression and two calibrations of the labels."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = co_training.fit(docs, labels, rounds=0)
+    truth = labels.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    rows = docs.join(truth, "doc_id").select(
+        "doc_id", "text", "lang", "source", "y", unit_hash(F.col("doc_id"), salt="calibration").alias("u")).collect()
+    held = set()
+    for c in (0, 1):
+        mine = sorted((r for r in rows if r.y == c), key=lambda r: (r.u, r.doc_id))
+        held |= {r.doc_id for r in mine[:max(1, int(co_training.CALIBRATION * len(mine)))]}
+    shares = np.stack([np.float16(co_training.content_rows([r.text or ""])[0]).astype(float) for r in rows])
+    y, told = np.array([r.y for r in rows]), np.array([r.doc_id not in held for r in rows])
+    sums = [shares[told & (y == c)].sum(axis=0) + 1e-3 for c in (0, 1)]
+    ratios = np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
+    np.testing.assert_allclose(model.content, ratios, atol=1e-5)
+    bins = np.array([co_training.metadata_bins(r.text or "", r.lang, r.source) for r in rows])
+    one_hot = (bins[:, :, None] == np.arange(co_training.OFFSETS[-1])).any(axis=1).astype(float)
+    # at the minimum of the penalised loss its gradient is zero
+    x, beta = one_hot[told], model.metadata
+    gradient = x.T @ (1 / (1 + np.exp(-x @ beta)) - y[told]) + co_training.RIDGE * beta
+    assert np.abs(gradient).max() < 1e-6
+    share = y[~told].mean()
+    assert model.prior == pytest.approx(np.log(share / (1 - share)))
+    odds = np.stack([co_training.EVIDENCE * shares @ ratios, one_hot @ beta]).T * model.scale[:, 0] + model.scale[:, 1]
+    p = 1 / (1 + np.exp(-(odds.sum(axis=1) - model.prior)))
+    got = {r.doc_id: r.quality for r in co_training.score(docs, model).collect()}
+    np.testing.assert_allclose([got[r.doc_id] for r in rows], p, atol=1e-2)
+
+
+def test_a_rare_class_is_drawn_and_ids_may_be_texts(spark):
+    docs = spark.createDataFrame(
+        [(f"d{i}", ("good words here " if i % 100 else "bad bad 123 !!! ") * (3 + i % 5), "en", f"s{i % 3}") for i in range(400)],
+        "doc_id string, text string, lang string, source string")
+    labels = docs.select("doc_id", (~F.col("text").startswith("bad")).cast("int").alias("quality"))
+    model = co_training.fit(docs, labels, labelled=20, pool=50)
+    got = co_training.score(docs, model).join(labels.withColumnRenamed("quality", "truth"), "doc_id")
+    assert got.where("kept <> (truth = 1)").count() == 0
+    one = labels.where("quality = 1 OR doc_id = 'd0'")
+    assert co_training.fit(docs, one) is None
+
+
 # 2 -----------------------------------------------------------------------------------------
 
 def test_mix_is_its_sql(odd, small):
@@ -390,7 +432,15 @@ def test_top_k(spark):
     assert few.count() == 2
     ragged = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (2, []), (1, [3.0])], "vec_id bigint, embedding array<float>")
     found = term_topk.top_k(ragged, F.col("vec_id") == 0).collect()
-    assert [(r.rank, r.vec_id, r.score) for r in found] == [(1, 1, 4096), (2, 2, 0)]
+    assert [(r.rank, r.vec_id, r.score) for r in found] == [(1, 1, 12288), (2, 1, 4096), (3, 2, 0)]
+
+
+def test_top_k_of_repeated_ids_and_sparse_vectors(spark):
+    """Rows of one id, also of a query's, are rows each; terms that few candidates have are scattered."""
+    rows = [(i % 90, [float((i * 5 + d) % 7 - 3) if (i + d) % 9 == 0 else 0.0 for d in range(12)]) for i in range(150)]
+    rows += [(20, [1.0] * 12), (20, [1.0] * 12), (41, [2.0] * 12), (41, [2.0] * 12)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    same(term_topk.top_k(table, F.col("vec_id") % 20 == 0).toPandas(), oracle("op8_term_topk", {"embeddings": table}))
 
 
 # 9 -----------------------------------------------------------------------------------------

@@ -4,8 +4,8 @@ Two views of a document: its content (hashed character n-grams) and its page
 metadata (source, language, length and layout: lines, word lengths, repetition,
 shares of capitals, digits and signs). The content has a naive Bayes classifier;
 the metadata, whose features depend on each other, a logistic regression.
-In each round either view labels the documents of an unlabelled pool that it is
-surest of, for both to learn from. The views are then calibrated on labelled documents that
+In each round the unlabelled pool gets a fresh part of the corpus and either view
+labels the documents of it that it is surest of, for both to learn from. The views are then calibrated on labelled documents that
 no round learned from, and their log-odds added up to score all documents.
 """
 
@@ -17,22 +17,27 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.shared import code_points, gram_counts, letter_table, on_whole_rows, slices, unit_hash
 from tidepanel.session import materialise
 
 ORDERS, GRAMS = (1, 2, 3), 4096
-#: Bounds of the fit: about so many labelled documents and unlabelled pool documents, drawn by a hash.
-LABELLED, POOL = 6000, 6000
+#: Bounds of the fit: about so many labelled documents, and unlabelled ones that join the pool in each
+#: round; all are drawn by a hash. Of either class at least about LEAST labelled documents, if there are so many.
+LABELLED, POOL, LEAST = 6000, 6000, 200
 ROUNDS, GROWTH = 3, 0.1
 #: Share of the labelled sample kept for the calibration.
 CALIBRATION = 0.3
 #: Documents whose chance to be of quality is below this are rejected.
 THRESHOLD = 0.5
-#: Bins of each metadata feature, features of it, and weight of a text's n-grams as of so many words.
-BINS, FEATURES, EVIDENCE = 24, 12, 30.0
+#: Bins of each metadata feature: language, source, then ten figures of the text.
+BINS = (64, 256, *[24] * 10)
+FEATURES = len(BINS)
+OFFSETS = np.cumsum([0, *BINS])
+#: Weight of a text's n-grams as of so many words.
+EVIDENCE = 30.0
 RIDGE = 1.0
 
 
@@ -59,14 +64,14 @@ def metadata_bins(text: str, lang: str | None, source: str | None) -> np.ndarray
     same = sum(a == b for a, b in zip(words, words[1:]))
     lines = int((codes == 10).sum()) + 1
 
-    def name(value: str | None) -> int:
-        return 0 if value is None else 1 + xxhash.xxh32_intdigest(value.encode()) % (BINS - 1)
+    def name(value: str | None, bins: int) -> int:
+        return 0 if value is None else 1 + xxhash.xxh32_intdigest(value.encode("utf-8", "surrogatepass")) % (bins - 1)
 
-    values = (name(lang), name(source), np.log2(n), np.log2(w), n / w, 20 * distinct / w,
+    values = (name(lang, BINS[0]), name(source, BINS[1]), np.log2(n), np.log2(w), n / w, 20 * distinct / w,
               20 * same / w, 20 * capital / max(1, letters), 20 * digits / n,
               60 * (n - letters - space - digits) / n, 4 * np.log2(1 + w / lines),
               20 * space / n)
-    return np.clip(np.array(values), 0, BINS - 1).astype(np.int64) + BINS * np.arange(FEATURES)
+    return np.clip(np.array(values), 0, np.array(BINS) - 1).astype(np.int64) + OFFSETS[:-1]
 
 
 def content_rows(texts: list[str]) -> np.ndarray:
@@ -80,17 +85,18 @@ def _featured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 128):
-                ids, quality, part, texts, lang, source = [c.to_pylist() for c in batch.columns]
+                quality, part, texts, lang, source = [c.to_pylist() for c in batch.columns[1:]]
                 texts = [t or "" for t in texts]
                 content = content_rows(texts).astype(np.float16)
                 bins = [metadata_bins(*x).astype(np.int32).tobytes() for x in zip(texts, lang, source)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(quality, pa.int32()), pa.array(part, pa.int32()),
+                    [batch.column(0), pa.array(quality, pa.int32()), pa.array(part, pa.int32()),
                      pa.array([c.tobytes() for c in content]), pa.array(bins)],
                     names=["id", "quality", "part", "content", "metadata"])
 
     rows = docs.select("id", "quality", "part", "text", "lang", "source")
-    return rows.mapInArrow(run, "id bigint, quality int, part int, content binary, metadata binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, quality int, part int, "
+                                "content binary, metadata binary")
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +132,7 @@ def _metadata_odds(rows: DataFrame) -> np.ndarray:
     told = rows.select("metadata", "label").toPandas()
     bins = np.frombuffer(b"".join(told["metadata"]), np.int32).reshape(-1, FEATURES)
     label = told["label"].to_numpy(float)
-    x = np.zeros((len(bins), FEATURES * BINS))
+    x = np.zeros((len(bins), OFFSETS[-1]))
     np.put_along_axis(x, bins.astype(np.int64), 1.0, axis=1)
     beta = np.zeros(x.shape[1])
     for _ in range(12):
@@ -145,7 +151,8 @@ def _scored(rows: DataFrame, content: np.ndarray, metadata: np.ndarray) -> DataF
                  pa.array(EVIDENCE * (rows_ @ content), pa.float64()), pa.array(metadata[bins].sum(axis=1))],
                 names=["id", "quality", "part", "s0", "s1"])
 
-    return rows.mapInArrow(run, "id bigint, quality int, part int, s0 double, s1 double")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, quality int, part int, "
+                                "s0 double, s1 double")
 
 
 def _platt(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -163,33 +170,38 @@ def _platt(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL,
         rounds: int = ROUNDS) -> QualityModel | None:
-    """Co-trains the views; None where the labels hold fewer than two classes.
+    """Co-trains the views; None where fewer than two documents of either class have a label.
 
-    The fit works on a bounded sample: about ``labelled`` documents with a label
-    and ``pool`` without, drawn by a hash of doc_id. A document with several
-    labels has their majority (ties: of quality); null labels are none.
+    The fit works on a bounded sample: about ``labelled`` documents with a label (more if a class would have
+    fewer than LEAST) and ``pool`` without in each round, drawn by a hash of doc_id. The calibration gets its
+    share of each class. A document with several labels has their majority (ties: of quality); null labels
+    are none, and labels without a document and documents without doc_id take no part.
     """
-    marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.avg("quality").alias("q"))
-    n_marks, n_docs = marks.count(), docs.count()
-    draw = unit_hash(F.col("doc_id"), salt="co-training")
-    marks = materialise(marks.where(draw < labelled / max(1, n_marks)).select(
-        "doc_id", (F.col("q") >= 0.5).cast("int").alias("quality")), "labelled")
     rows = docs.select("doc_id", "text", "lang", "source").where("doc_id IS NOT NULL")
-    part = (unit_hash(F.col("doc_id"), salt="calibration") < CALIBRATION).cast("int")
-    known = rows.join(F.broadcast(marks), "doc_id").withColumn("part", part)
-    free = (rows.where(unit_hash(F.col("doc_id"), salt="pool") < pool / max(1, n_docs))
-            .join(F.broadcast(marks), "doc_id", "left_anti")
-            .withColumn("quality", F.lit(None).cast("int")).withColumn("part", F.lit(2)))
-    drawn = known.unionByName(free, allowMissingColumns=True).withColumnRenamed("doc_id", "id")
-    table = materialise(_featured(drawn), "views")
-    sizes = {(r.part, r.quality): r["count"] for r in table.groupBy("part", "quality").count().collect()}
-    if not all(sizes.get((0, c)) and sizes.get((1, c)) for c in (0, 1)):
+    marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+        (F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    marks = materialise(marks.join(rows.select("doc_id"), "doc_id", "left_semi"), "marks")
+    classes = {r.quality: r["count"] for r in marks.groupBy("quality").count().collect()}
+    if min(classes.get(0, 0), classes.get(1, 0)) < 2:
         return None
+    even = labelled / sum(classes.values())
+    draws = {c: max(even, LEAST / n) for c, n in classes.items()}
+    limit = F.when(F.col("quality") == 1, draws[1]).otherwise(draws[0])
+    drawn = marks.where(unit_hash(F.col("doc_id"), salt="co-training") < limit)
+    of_class = Window.partitionBy("quality")
+    place = F.row_number().over(of_class.orderBy(unit_hash(F.col("doc_id"), salt="calibration"), "doc_id"))
+    held = F.greatest(F.lit(1), F.floor(CALIBRATION * F.count("*").over(of_class)))
+    drawn = materialise(drawn.select("doc_id", "quality", (place <= held).cast("int").alias("part")), "labelled")
+    known = rows.join(F.broadcast(drawn), "doc_id")
+    turn = F.floor(unit_hash(F.col("doc_id"), salt="pool") * (max(1, rows.count()) / pool)).cast("int")
+    free = (rows.withColumn("turn", turn).where(F.col("turn") < rounds).join(marks, "doc_id", "left_anti")
+            .withColumn("quality", F.lit(None).cast("int")).withColumn("part", 2 + F.col("turn")).drop("turn"))
+    table = materialise(_featured(known.unionByName(free).withColumnRenamed("doc_id", "id")), "views")
+    sizes = {(r.part, r.quality): r["count"] for r in table.groupBy("part", "quality").count().collect()}
     free_rows = sizes.get((2, None), 0)
     share = sizes[(0, 1)] / (sizes[(0, 0)] + sizes[(0, 1)])
     own = F.when(F.col("part") == 0, F.col("quality"))
-    pseudo: dict[int, int] = {}
+    pseudo: dict = {}
     for step in range(rounds + 1):
         told = table.withColumn("label", _given(pseudo, own)).where("label IS NOT NULL")
         content, metadata = _content_ratios(told), _metadata_odds(told)
@@ -199,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
         for view in ("s0", "s1"):
             for label, order in ((1, F.col(view).desc()), (0, F.col(view).asc())):
                 most = round(GROWTH * free_rows * (share if label else 1 - share))
-                for r in scores.where("part = 2").orderBy(order, "id").limit(most * (step + 1)).collect():
+                in_pool = F.col("part").between(2, 2 + step)
+                for r in scores.where(in_pool).orderBy(order, "id").limit(most * (step + 1)).collect():
                     pseudo.setdefault(r.id, label)
     held = scores.where("part = 1").select("quality", "s0", "s1").toPandas()
     label = held["quality"].to_numpy(float)
@@ -207,10 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     return QualityModel(content, metadata, scale, float(np.log(label.mean() / (1 - label.mean()))))
 
 
-def _given(pseudo: dict[int, int], own: Column) -> Column:
-    """A row's own label, else the pseudo-label of its id (bounded by the pool)."""
+def _given(pseudo: dict, own: Column) -> Column:
+    """A row's own label, else the pseudo-label of its id (bounded by the pools)."""
     yes, no = ([i for i, c in pseudo.items() if c == k] for k in (1, 0))
-    return F.coalesce(own, F.when(F.col("part") == 2, F.when(F.col("id").isin(yes), 1).when(
+    return F.coalesce(own, F.when(F.col("part") >= 2, F.when(F.col("id").isin(yes), 1).when(
         F.col("id").isin(no), 0)))
 
 
@@ -260,6 +273,6 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, their columns as they were.
 
     Null and empty texts, nulls in other columns, long texts and repeated rows are scored like any other
-    row; without a model (labels of fewer than two classes) all rows stay. An empty table stays empty.
+    row; without a model (fewer than two labelled documents of a class) all rows stay. An empty table stays empty.
     """
     return score(docs, fit(docs, labels), ["__doc"]).where("kept")

@@ -14,6 +14,8 @@ from tidepanel.session import materialise
 TOP = 20
 #: Rows of a block of candidates and of a block of queries: the dense score array of a step.
 CANDIDATE_ROWS, QUERY_ROWS = 2048, 256
+#: A posting list with over 1/DENSE of a block's candidates is a whole column.
+DENSE = 4
 
 
 def integer_vector(vector: Column, scale: float = 64.0) -> Column:
@@ -51,8 +53,9 @@ def _unpack(ids: bytes, width: int, body: bytes) -> tuple[np.ndarray, np.ndarray
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Inner products (queries x candidates), term by term.
 
-    A term's posting list is the candidates' column; each query row that has the
-    term adds its weight times the list to its row of the dense score array.
+    A term's posting list holds the candidates that have it, with their weights; each query row that has
+    the term scatters its weight times the list into its row of the dense score array. A list that most
+    candidates are on is kept as a whole column.
     """
     width = min(queries.shape[1], candidates.shape[1])
     most = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * max(width, 1)
@@ -62,8 +65,10 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     scores = np.zeros((len(queries), len(candidates)), kind)
     term = np.empty_like(scores)
     for t in range(width):
-        rows = np.flatnonzero(weights[:, t])
-        if len(rows) == len(queries):
+        rows, on = np.flatnonzero(weights[:, t]), np.flatnonzero(postings[t])
+        if DENSE * len(on) < len(candidates):
+            scores[np.ix_(rows, on)] += weights[rows, t, None] * postings[t, on]
+        elif len(rows) == len(queries):
             np.multiply(weights[:, t, None], postings[t], out=term)
             scores += term
         elif len(rows):
@@ -72,23 +77,22 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 def _best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple:
-    """The k best candidates of each query, without itself; ids ascend, so places break ties."""
+    """The k best candidates of each query, without those of its own id; ids ascend, so places break ties."""
     n = len(ids)
-    rows, at = np.arange(len(query_ids)), np.searchsorted(ids, query_ids)
-    own = (at < n) & (ids[np.minimum(at, n - 1)] == query_ids)
+    own = ids[None, :] == query_ids[:, None]
     wide = scores.astype(np.int64)
-    order = np.empty_like(wide)
     if n and np.abs(wide).max(initial=0) < (1 << 62) // n:
         order = wide * n + (n - 1 - np.arange(n))
     else:
         order = np.empty_like(wide)
-        for r in rows:
+        for r in range(len(query_ids)):
             order[r, np.lexsort((-np.arange(n), wide[r]))] = np.arange(n)
-    order[rows[own], at[own]] = np.iinfo(np.int64).min
+    order[own] = np.iinfo(np.int64).min
     take = min(k, n)
     best = np.argpartition(order, n - take, axis=1)[:, n - take:]
-    real = ~(own[:, None] & (best == at[:, None]))
-    row = np.broadcast_to(rows[:, None], best.shape)[real]
+    rows = np.broadcast_to(np.arange(len(query_ids))[:, None], best.shape)
+    real = ~own[rows, best]
+    row = rows[real]
     return query_ids[row], ids[best[real]], wide[row, best[real]]
 
 
@@ -97,21 +101,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "vec
     """query_id, rank, vec_id, score: each query's k highest integer inner products.
 
     Candidates are all rows but the query's own. Vectors that are null or hold
-    null or non-finite components, and null ids, take no part; repeated ids
-    count once, with the smallest vector. A shorter vector counts as padded with zeros. Ties go to
+    null or non-finite components, and null ids, take no part. Rows of one id are not
+    candidates for each other; for others each of them is one, and what several
+    queries of one id find is ranked together. A shorter vector counts as padded with zeros. Ties go to
     the smaller id. Every query meets every candidate, in blocks: the rows that
     are moved are blocks, and each pair of blocks sends on k rows a query.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("e"))
     rows = rows.where(F.col("id").isNotNull() & is_finite(F.col("e"))).select(
         "id", integer_vector(F.col("e")).alias("v"))
-    rows = materialise(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    # the deal is written down, so that a task run again deals alike; repeated ids spread over all blocks
+    rows = materialise(rows.withColumn("deal", F.xxhash64("id", F.monotonically_increasing_id())), "vectors")
     asks = rows.withColumnRenamed("id", vec_id).where(is_query).withColumnRenamed(vec_id, "id")
     blocks = -(-rows.count() // CANDIDATE_ROWS) or 1
     ask_blocks = -(-asks.count() // QUERY_ROWS) or 1
 
     def dealt(df: DataFrame, n: int) -> DataFrame:
-        return _packed(df.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), "b")
+        return _packed(df.withColumn("b", F.pmod("deal", F.lit(n)).cast("int")).drop("deal"), "b")
 
     index = dealt(rows, blocks)
     ask = dealt(asks, ask_blocks).select(
