@@ -172,6 +172,32 @@ def test_streams_lose_no_late_or_repeated_row(spark, tmp_path):
         assert totals.read().count() == 120
 
 
+@pytest.fixture(scope="module")
+def repeated_events(spark, tmp_path_factory):
+    """Events that share a type and millisecond, with equal and other values; odd values, no time."""
+    import duckdb
+    folder = tmp_path_factory.mktemp("events")
+    rows = [(i, f"2024-01-0{1 + i % 3} 05:00:0{i % 4}.00{i % 5}{j}", "ab"[i % 2], v)
+            for i in range(12) for j, v in enumerate([3.5 + i, 1.25, 1.25, -2.0])]
+    rows += [(90, "2024-01-05 01:00:00", "a", None), (91, "2024-01-05 01:00:00", "a", float("nan")),
+             (92, "2024-01-05 01:00:00", "a", 7.0), (93, "2024-01-06 23:59:59.999999", "b", None),
+             (94, None, "a", 2.0), (95, None, "a", 4.0), (95, None, "a", 4.0), (96, "2024-01-07 01:00:00", None, 1.0)]
+    df = spark.createDataFrame(rows, "event_id long, t string, event_type string, value double")
+    df.select("event_id", F.col("t").cast("timestamp_ntz").alias("ts"), "event_type", "value").write.parquet(
+        str(folder / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS FROM '{folder}/events.parquet/*.parquet'")
+    return str(folder), lambda name: con.execute(registry.references()[name]).fetchall()
+
+
+@pytest.mark.parametrize("name", ["h01_stream_dedupe"])
+def test_streams_of_events_that_share_a_millisecond(spark, repeated_events, name):
+    folder, wanted = repeated_events
+    got, want = registry.plans()[name](spark, folder).collect(), wanted(name)
+    assert len(want) > 6
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_older_run_in_a_later_batch_does_not_win(spark, tmp_path):
     schema = "as_of int, run int, v string"
     frame = spark.createDataFrame([], schema)

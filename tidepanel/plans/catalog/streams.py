@@ -39,11 +39,13 @@ def _event_day():
 @query("h01_stream_dedupe", sql("hourly", """
 SELECT series_id, ts_ms, min(rate) AS rate FROM hourly GROUP BY 1, 2"""))
 def h01(v: Views):
-    """Events once each, drained in many batches; a second drain changes nothing."""
+    """A row per series and millisecond, the least rate reported (NaN is above all, null counts
+    only alone), drained in many batches; a second drain changes nothing."""
     src = _events(v)
     path = _land(src, "events", 8)
     checkpoint = env.scratch_path(v.spark, "cp")
-    table = _table(v, src.schema, "dedupe", ["series_id", "ts_ms"], _event_day())
+    least = [F.col("rate").isNotNull(), ~F.isnan("rate"), -F.col("rate")]
+    table = _table(v, src.schema, "dedupe", ["series_id", "ts_ms"], _event_day(), least)
     for _ in range(2):
         st.run_upserts(st.landed_stream(v.spark, path, src.schema, 2), table, checkpoint)
     return table.read().select("series_id", "ts_ms", "rate")

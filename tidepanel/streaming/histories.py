@@ -51,7 +51,7 @@ class KeyedTable:
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: StructType, keys: Sequence[str],
-                 part: Column, order: Sequence[str] = (), compact_after: int = 8):
+                 part: Column, order: Sequence[Column | str] = (), compact_after: int = 8):
         self.spark, self.root, self.schema = spark, root, schema
         self.keys, self.part, self.order = list(keys), part, list(order)
         self.compact_after = compact_after
