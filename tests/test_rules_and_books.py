@@ -190,7 +190,7 @@ def repeated_events(spark, tmp_path_factory):
     return str(folder), lambda name: con.execute(registry.references()[name]).fetchall()
 
 
-@pytest.mark.parametrize("name", ["h01_stream_dedupe"])
+@pytest.mark.parametrize("name", ["h01_stream_dedupe", "h02_stream_daily_totals"])
 def test_streams_of_events_that_share_a_millisecond(spark, repeated_events, name):
     folder, wanted = repeated_events
     got, want = registry.plans()[name](spark, folder).collect(), wanted(name)

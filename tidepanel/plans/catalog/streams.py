@@ -22,10 +22,12 @@ def _land(df, label: str, files: int):
 def _events(v: Views):
     # an instant, whatever the session zone
     e = v.hourly().withColumn("ts", F.timestamp_millis("ts_ms"))
+    # numbered before they are sent: two events of a millisecond stay two, copies of one stay one
+    e = e.withColumn("event", F.monotonically_increasing_id())
     # every fifth event is delivered twice
     copies = F.when(F.col("ts_ms") % 5 == 0, 2).otherwise(1)
     return e.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(
-        "series_id", "ts_ms", "ts", "rate")
+        "event", "series_id", "ts_ms", "ts", "rate")
 
 
 def _table(v: Views, schema, label: str, keys, part, order=()):
@@ -41,7 +43,7 @@ SELECT series_id, ts_ms, min(rate) AS rate FROM hourly GROUP BY 1, 2"""))
 def h01(v: Views):
     """A row per series and millisecond, the least rate reported (NaN is above all, null counts
     only alone), drained in many batches; a second drain changes nothing."""
-    src = _events(v)
+    src = _events(v).drop("event")
     path = _land(src, "events", 8)
     checkpoint = env.scratch_path(v.spark, "cp")
     least = [F.col("rate").isNotNull(), ~F.isnan("rate"), -F.col("rate")]
@@ -55,10 +57,10 @@ def h01(v: Views):
 SELECT series_id, date, date + 1 AS effective_date, round(sum(rate), 6) AS total, count(*) AS n
 FROM hourly GROUP BY 1, 2"""))
 def h02(v: Views):
-    """Sums of events delivered once, twice or late."""
+    """Sums of events delivered once, twice or late; events of one millisecond count each."""
     src = _events(v)
     path = _land(src, "events", 8)
-    events = _table(v, src.schema, "events", ["series_id", "ts_ms"], _event_day())
+    events = _table(v, src.schema, "events", ["event"], _event_day())
     totals = _table(v, st.daily_totals(src, ["series_id"]).schema, "totals", ["series_id", "date"],
                     F.col("date"))
     st.run_daily_totals(st.landed_stream(v.spark, path, src.schema, 2), events, totals,

@@ -30,13 +30,11 @@ def landed_stream(spark: SparkSession, folder: str, schema: StructType,
 
 def daily_totals(events: DataFrame, by: Sequence[str], event_time: str = "ts",
                  value: str = "rate") -> DataFrame:
-    """Sums of UTC days. A day is usable from the end of its window."""
-    day = F.window(event_time, "1 day")
+    """Sums of UTC days. A day is usable from its end. Events without a time are a day of their own."""
+    day = epoch_date(F.unix_seconds(event_time)).alias("date")
     return (events.groupBy(*by, day)
             .agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
-            .select(*by, epoch_date(F.unix_seconds("window.start")).alias("date"),
-                    epoch_date(F.unix_seconds("window.end")).alias("effective_date"),
-                    "total", "n"))
+            .select(*by, "date", F.date_add("date", 1).alias("effective_date"), "total", "n"))
 
 
 class KeyedTable:
