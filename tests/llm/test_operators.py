@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidepanel.llm import (bpe_count, centroid_lang, chat_parts, co_training, queries,
+from tidepanel.llm import (bpe_count, centroid_lang, chat_parts, co_training, hamming, queries,
                            shingle_links, simhash_tables, slack_packing, source_mixing, term_topk, vp_dedup, warc)
 from tidepanel.llm.graph import components
 from tidepanel.llm.shared import DOCUMENT_COLUMNS, unit_hash
@@ -297,6 +297,48 @@ def test_a_family_that_only_its_first_text_ties_together(spark, most):
         assert found.num_rows == len(rows) - 1
 
 
+def test_candidates_are_near_simhashes_in_one_leaf_of_a_tree(spark):
+    """The stage searches SimHashes with vantage-point trees; large leaves are cut without loss."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for f in range(40):
+        base = list(rng.choice([f"w{i}" for i in range(3000)], 120))
+        for k in range(5):
+            text = list(base)
+            for at in rng.choice(120, 2 * k, replace=False):
+                text[at] = f"new{f}-{k}-{at}"
+            rows.append((5 * f + k, " ".join(text)))
+    docs = spark.createDataFrame([*rows, (900, "one two three four five six seven"), (901, None)],
+                                 "doc_id bigint, text string")
+    marked = shingle_links.with_sets(docs, "text", ["doc_id"]).cache()
+    got = sorted(marked.collect(), key=lambda r: r.doc_id)
+    sets = [shingle_links.shingles((r.text or "").encode()) for r in docs.orderBy("doc_id").collect()]
+    prints = np.array([r.sketch for r in got], np.int64).view(np.uint64)
+    # every shingle has one vote a bit, and over half of them set it
+    each = [np.unpackbits(np.array([shingle_links.simhash(own[k:k + 1]) for k in range(len(own))]).view(np.uint8), axis=1)
+            if len(own) else np.zeros((1, 512), np.uint8) for own in sets]
+    assert (prints == np.array([np.packbits(2 * e.sum(axis=0) > len(e)).view(np.uint64) for e in each])).all()
+    bits = np.unpackbits(prints.view(np.uint8), axis=1)[:, :506].reshape(-1, 46, 11)
+    points = [[v >> i & 1 for i in range(11)] for v in hamming.VANTAGES]
+    away = np.stack([(bits != np.array(v, np.uint8)).sum(axis=2) for v in points], axis=2)
+    label = list(range(len(got)))
+    for i in range(len(got) - 1):
+        assert len(got[i].leaves) == 46
+        for j in range(i):
+            shared = (away[i] == away[j]).all(axis=1)
+            assert (shared == (np.array(got[i].leaves) == np.array(got[j].leaves))).all()
+            small, big = sorted((len(sets[i]), len(sets[j])))
+            if shared.any() and np.bitwise_count(prints[i] ^ prints[j]).sum() <= 120 and 5 * small >= 4 * big:
+                label = [label[j] if x == label[i] else x for x in label]
+    assert got[-1].leaves == [] and len(set(label)) < len(label)
+    want = {frozenset(got[i].node for i in range(len(got)) if label[i] == x) for x in label}
+    for most in (4096, 3):
+        found = defaultdict(set)
+        for r in components(shingle_links.candidate_links(marked.drop("doc_id"), leaf_rows=most)).collect():
+            found[r.label].add(r.node)
+        assert {frozenset(x) for x in found.values()} == {x for x in want if len(x) > 1}
+
+
 def test_stages_keep_columns_of_any_name(spark, odd):
     """Columns with names that the stages use come back as they were."""
     names = ["target", "epochs", "cut", "end_slice", "source_size", "copies", "__size", "score", "rejected", "__text",

@@ -1,18 +1,21 @@
 """Texts whose sets of five-word shingles are alike by 0.8 or more (the pipeline's near-duplicates).
 
-Candidates share a band of MinHashes: 25 bands of five, so a pair at similarity 0.8
-shares one but for 1 in 20,000. No pair is ever a row: members of a band are first
-tied to its smallest member, which gives groups that hold all candidates, and a group
-is decided inside one task, on whole sets, where pairs that are linked already, whose
-sizes rule 0.8 out or whose sketches (four bits of each MinHash) differ too much are
-passed over. It sends on one link for each two parts it joins. A group over
-``GROUP_ROWS`` or ``GROUP_SETS`` falls into its bands, and a band over them into salted parts; then
-the members outside the band's largest component meet all others, part by part.
+Each set has a SimHash of 512 bits, of which two sets at similarity 0.8 differ in 78 +- 8 and unlike sets in
+256 +- 11. Candidates lie within ``RADIUS`` of each other and share a leaf of one of 46 vantage-point trees, each
+over a block of 11 bits with a search radius of 0 there (``hamming``): at exactly 0.8 a pair shares none but for
+1 in 4,000. A leaf is searched inside a task in the full metric and sends on fewer links than it has rows; no pair
+is ever a row. A leaf over ``LEAF_ROWS`` falls into salted parts, and then the rows outside its largest component
+meet the others part by part.
+
+The components of these links are groups that hold all candidates. A group is decided inside one task, on whole
+sets, where pairs that are linked already, whose sizes rule 0.8 out or whose fingerprints lie further apart are
+passed over. It sends on one link for each two parts it joins. A group over ``GROUP_ROWS`` or ``GROUP_SETS``
+falls into its leaves, and a leaf over them into parts as above.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.graph import components
+from tidepanel.llm.hamming import leaf_numbers, star_within
 from tidepanel.llm.shared import slices
 from tidepanel.session import materialise
 
@@ -28,16 +32,16 @@ SEED = 42
 WORDS = 5
 #: Least similarity, as a fraction.
 LIKE, OF = 4, 5
-ROWS, BANDS = 5, 25
-#: Longs of a sketch, and differing bits of two sketches up to which the sets are compared: a pair at
-#: similarity 0.8 differs in 50 +- 10 bits of 500.
-SKETCH, SKETCH_BITS = 8, 96
+#: Longs of a fingerprint, differing bits up to which two sets are candidates, bits of a tree's block.
+SKETCH, RADIUS, BLOCK = 8, 120, 11
+TREES = 64 * SKETCH // BLOCK
+#: Rows of a leaf that a task searches at once, and of the leaves dealt to one group; not limits on results.
+LEAF_ROWS, SHARD_ROWS = 4096, 16384
 #: Rows and shingles of a group (or part of one) that a task holds; not a limit on results.
 GROUP_ROWS, GROUP_SETS = 512, 4 << 20
 
-_draw = np.random.default_rng(SEED)
-_TIMES = _draw.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
-_PLUS = _draw.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
+_SEEDS = np.random.default_rng(SEED).integers(0, 1 << 64, SKETCH, dtype=np.uint64)
+_LEAVES = leaf_numbers(BLOCK)
 
 
 def shingles(text: bytes | None, size: int = WORDS) -> np.ndarray:
@@ -69,30 +73,28 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= LIKE * (len(a) + len(b) - both)
 
 
-def min_hashes(own: np.ndarray) -> np.ndarray:
-    high = (own >> np.uint64(32)).astype(np.uint32)
-    least = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(high), 1 << 12):
-        part = _TIMES[:, None] * high[None, k:k + (1 << 12)] + _PLUS[:, None]
-        np.minimum(least, part.min(axis=1), out=least)
-    return least
+def simhash(own: np.ndarray) -> np.ndarray:
+    """The fingerprint (longs) of a set: a bit is set if over half of its shingles' hashes have it."""
+    votes = np.zeros(64 * SKETCH, np.int64)
+    for k in range(0, len(own), 255):  # so many votes fit a byte
+        x = own[k:k + 255, None] + _SEEDS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        votes += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(own)).view(np.int64)
 
 
-def bands_and_sketch(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The band keys (longs; none of an empty set) and the sketch (longs) of a set."""
-    if not len(own):
-        return np.zeros(0, np.int64), np.zeros(SKETCH, np.int64)
-    least = min_hashes(own)
-    keys = [xxhash.xxh64_intdigest(least[k * ROWS:(k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
-    nibbles = np.zeros(SKETCH * 16, np.uint8)
-    # mixed first: the low bits of a product depend on few bits of the hash
-    nibbles[:len(least)] = ((least ^ (least >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(28)
-    packed = (nibbles[::2] << 4 | nibbles[1::2]).view(np.int64)
-    return np.array(keys, np.uint64).view(np.int64), packed
+def leaves(sketches: np.ndarray) -> np.ndarray:
+    """Fingerprints (n x longs) -> the leaf of each tree (n x trees), numbered over all trees."""
+    bits = np.unpackbits(np.ascontiguousarray(sketches).view(np.uint8), axis=1)[:, :TREES * BLOCK]
+    blocks = bits.reshape(-1, TREES, BLOCK) @ (1 << np.arange(BLOCK))
+    return (_LEAVES[blocks] + (np.arange(TREES) << BLOCK)).astype(np.int32)
 
 
 def with_sets(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, and node (the set's name), n (its size), bands and sketch."""
+    """The ``keep`` columns, and node (the set's name), n (its size), leaves (none of an empty set) and
+    sketch (its fingerprint)."""
     kept = docs.select(*keep, F.col(text).cast("binary").alias("__body"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
@@ -100,15 +102,15 @@ def with_sets(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 sets = [shingles(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-                made = [bands_and_sketch(s) for s in sets]
+                made = np.array([simhash(s) for s in sets], np.int64).reshape(-1, SKETCH)
                 node = np.array([set_name(s) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:-1], pa.array(node), pa.array([len(s) for s in sets], pa.int32()),
-                     pa.array([b for b, _ in made], pa.list_(pa.int64())),
-                     pa.array([s for _, s in made], pa.list_(pa.int64()))],
-                    names=[*keep, "node", "n", "bands", "sketch"])
+                     pa.array([at if len(s) else at[:0] for at, s in zip(leaves(made), sets)], pa.list_(pa.int32())),
+                     pa.array(list(made), pa.list_(pa.int64()))],
+                    names=[*keep, "node", "n", "leaves", "sketch"])
 
-    return kept.mapInArrow(run, f"{schema}, node bigint, n int, bands array<bigint>, sketch array<bigint>")
+    return kept.mapInArrow(run, f"{schema}, node bigint, n int, leaves array<int>, sketch array<bigint>")
 
 
 def _whole_sets(texts: DataFrame) -> DataFrame:
@@ -127,6 +129,29 @@ def _whole_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, own binary").groupBy("node").agg(F.first("own").alias("own"))
 
 
+def _fingerprints(group: pa.Table) -> np.ndarray:
+    flat = group.column("sketch").combine_chunks().flatten().to_numpy()
+    return flat.view(np.uint64).reshape(group.num_rows, SKETCH)
+
+
+def near_links(group: pa.Table) -> pa.Table:
+    """Rows (bucket, node, n, sketch, comp, asks) of whole leaves -> links (a, b) within the radius."""
+    bucket = group.column("bucket").to_numpy()
+    order = np.argsort(bucket, kind="stable")
+    node, sketch = group.column("node").to_numpy()[order], _fingerprints(group)[order]
+    n, comp = group.column("n").to_numpy().astype(np.int64)[order], group.column("comp").to_numpy()[order]
+    asks = group.column("asks").to_numpy()[order]
+    ends = np.flatnonzero(np.diff(bucket[order], append=bucket[order[-1:]] + 1)) + 1
+    a, b = [], []
+    for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        if end - start > 1:
+            at = slice(start, end)
+            for i, j in star_within(sketch[at], RADIUS, comp[at], asks[at], n[at], (LIKE, OF)):
+                a.append(node[start + i])
+                b.append(node[start + j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def star_links(group: pa.Table) -> pa.Table:
     """Rows (node, n, sketch, own, comp, asks) of a group -> links (a, b) that join its parts.
 
@@ -135,7 +160,7 @@ def star_links(group: pa.Table) -> pa.Table:
     node = group.column("node").to_numpy()
     n = group.column("n").to_numpy().astype(np.int64)
     asks = group.column("asks").to_numpy()
-    sketch = group.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), SKETCH)
+    sketch = _fingerprints(group)
     own = [np.frombuffer(b, np.uint64) for b in group.column("own").to_pylist()]
     part = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1]
     found: list[tuple[int, int]] = []
@@ -145,7 +170,7 @@ def star_links(group: pa.Table) -> pa.Table:
         there = np.flatnonzero(rest & (part != part[i]) & (OF * np.minimum(n, n[i]) >= LIKE * np.maximum(n, n[i])))
         away = np.bitwise_count(sketch[there] ^ sketch[i]).sum(axis=1, dtype=np.int64)
         order = np.argsort(away, kind="stable")
-        for j in there[order[:np.count_nonzero(away <= SKETCH_BITS)]].tolist():
+        for j in there[order[:np.count_nonzero(away <= RADIUS)]].tolist():
             if part[j] != part[i] and alike(own[i], own[j]):
                 found.append((node[i], node[j]))
                 part[part == part[j]] = part[i]
@@ -153,8 +178,29 @@ def star_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
-def _linked(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).applyInArrow(star_links, "a bigint, b bigint")
+def _linked(rows: DataFrame, by: list[str], links: Callable[[pa.Table], pa.Table] = star_links) -> DataFrame:
+    return rows.groupBy(*by).applyInArrow(links, "a bigint, b bigint")
+
+
+def candidate_links(distinct: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Rows (node, n, leaves, sketch) -> (a, b) links that connect all candidates."""
+    sizes = materialise(distinct.select(F.explode("leaves").alias("bucket")).groupBy("bucket").count(), "leaf-sizes")
+    total, most = sizes.agg(F.sum("count"), F.max("count")).first()
+    shards = -(-(total or 0) // SHARD_ROWS) or 1
+    rows = distinct.select("node", "n", "sketch", F.col("node").alias("comp"), F.lit(True).alias("asks"),
+                           F.explode("leaves").alias("bucket"))
+    # the trees have so many leaves and no more, whatever the table holds
+    rows = rows.join(F.broadcast(sizes.where("count > 1")), "bucket")
+    shard = F.pmod(F.xxhash64("bucket"), F.lit(shards)).alias("shard")
+    links = _linked(rows.where(F.col("count") <= leaf_rows).drop("count").withColumn("shard", shard), ["shard"], near_links)
+    if (most or 0) <= leaf_rows:
+        return materialise(links, "near")
+    parts = F.ceil(F.col("count") / leaf_rows).cast("int")
+    split = materialise(rows.where(F.col("count") > leaf_rows).select(
+        *[c for c in rows.columns if c != "count"], parts.alias("parts"),
+        F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")), "split-leaves")
+    links = materialise(links.unionByName(_linked(split.drop("parts"), ["bucket", "part"], near_links)), "near")
+    return links.unionByName(_met_parts(split, links, leaf_rows, near_links))
 
 
 def set_components(marked: DataFrame, texts: DataFrame, group_rows: int = GROUP_ROWS,
@@ -164,15 +210,11 @@ def set_components(marked: DataFrame, texts: DataFrame, group_rows: int = GROUP_
     A set is one row, however long its text; rows with an equal set are one node, so they are alike without a
     link. An empty table gives no rows.
     """
-    distinct = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"),
+    distinct = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("leaves").alias("leaves"),
                                           F.first("sketch").alias("sketch"), F.min("__row").alias("__row"))
     distinct = materialise(distinct, "distinct")
-    rows = distinct.select("node", "n", F.explode("bands").alias("bucket"))
-    met = rows.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("n").alias("sets"),
-                                     F.min("node").alias("hub")).where("rows > 1")
-    shared = materialise(rows.select("node", "bucket").join(met, "bucket"), "shared")
-    groups = components(shared.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    nodes = distinct.drop("bands").join(groups, "node")
+    groups = components(candidate_links(distinct))
+    nodes = distinct.drop("leaves").join(groups, "node")
     # equal row hashes of unlike rows give each other's texts, which _whole_sets leaves out
     sets = _whole_sets(texts.join(nodes.select("node", "__row"), "__row").select("node", "__body"))
     nodes = nodes.drop("__row").join(sets, "node").withColumn("comp", F.col("node")).withColumn("asks", F.lit(True))
@@ -182,19 +224,26 @@ def set_components(marked: DataFrame, texts: DataFrame, group_rows: int = GROUP_
     large = materialise(large, "large-groups")
     whole = nodes.join(large, "label", "left_anti").select(
         F.col("label").alias("bucket"), F.lit(-1).alias("part"), "node", "n", "sketch", "own", "comp", "asks")
+    inside = nodes.join(large, "label", "left_semi")
+    shared = inside.select("label", "node", "n").join(distinct.select("node", "leaves"), "node").select(
+        "node", "n", F.explode("leaves").alias("leaf"), "label").select(
+        "node", "n", F.xxhash64("label", "leaf").alias("bucket"))
+    shared = materialise(shared, "shared")
+    met = shared.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("n").alias("sets")).where("rows > 1")
     parts = F.greatest(F.ceil(F.col("rows") / group_rows), F.ceil(F.col("sets") / group_sets)).cast("int")
-    split = nodes.join(large, "label", "left_semi").join(shared.select(
+    split = inside.join(shared.join(met, "bucket").select(
         "node", "bucket", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")), "node")
     split = materialise(split.drop("label"), "split-groups")
     links = materialise(_linked(whole.unionByName(split.drop("parts")), ["bucket", "part"]), "alike")
     return components(links.unionByName(_met_parts(split, links, group_rows)))
 
 
-def _met_parts(split: DataFrame, links: DataFrame, group_rows: int) -> DataFrame:
-    """Links between the parts of the bands that were split.
+def _met_parts(split: DataFrame, links: DataFrame, group_rows: int,
+               link: Callable[[pa.Table], pa.Table] = star_links) -> DataFrame:
+    """Links between the parts of the leaves that were split.
 
-    The rows outside a band's largest component ask all its rows, in pairs of parts; where the parts'
-    own links have made a band one component, nothing is left to ask.
+    The rows outside a leaf's largest component ask all its rows, in pairs of parts; where the parts'
+    own links have made a leaf one component, nothing is left to ask.
     """
     split = split.where("parts > 1").drop("comp", "asks").join(components(links), "node", "left").withColumn(
         "comp", F.coalesce("label", "node")).drop("label")
@@ -203,7 +252,7 @@ def _met_parts(split: DataFrame, links: DataFrame, group_rows: int) -> DataFrame
                                        F.sum("count").alias("rows")).where("rows > most")
     main = main.withColumn("askers", F.ceil((F.col("rows") - F.col("most")) / group_rows).cast("int"))
     rows = materialise(split.join(main.select("bucket", "main", "askers"), "bucket"), "unmet")
-    fields = ["bucket", "part", "turn", "node", "n", "sketch", "own", "comp", "asks"]
+    fields = [*[c for c in rows.columns if c not in ("parts", "main", "askers", "part")], "part", "turn", "asks"]
 
     def each(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -213,4 +262,4 @@ def _met_parts(split: DataFrame, links: DataFrame, group_rows: int) -> DataFrame
     asked = rows.withColumn("turn", each("askers"))
     met = asking.withColumn("asks", F.lit(True)).select(*fields).unionByName(
         asked.withColumn("asks", F.lit(False)).select(*fields))
-    return materialise(_linked(met, ["bucket", "part", "turn"]), "alike-across")
+    return materialise(_linked(met, ["bucket", "part", "turn"], link), "alike-across")

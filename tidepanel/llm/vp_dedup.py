@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.graph import components
-from tidepanel.llm.hamming import near_roots
+from tidepanel.llm.hamming import VANTAGES, near_roots
 from tidepanel.llm.shared import on_whole_rows, slices
 from tidepanel.llm.shingle_links import set_components, with_sets
 from tidepanel.session import materialise
@@ -33,8 +33,6 @@ RADIUS = 4
 SHINGLE = 4
 #: Widths of the blocks of a fingerprint, from the low bits up; the last has no tree of its own.
 BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Vantage points of a block's tree: level k splits by the distance to the k-th.
-VANTAGES = (0x000, 0x7FF, 0x0F3, 0x555, 0x1E9, 0x26B, 0x39C, 0x4B5)
 #: Rows of a shard above which it is split by a second block; not a limit on results.
 SHARD_ROWS = 4096
 
@@ -161,9 +159,9 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
 def one_per_component(docs: DataFrame) -> DataFrame:
     """Documents with one row of each component of like texts left: the smallest doc_id's.
 
-    Texts are linked where their sets of five-word shingles are alike by 0.8 or
-    more (``shingle_links``), not by the fingerprints, whose radius of 4 bits
-    holds few such pairs. Null, empty and word-free texts have the same empty set: one of them
+    Candidates are SimHashes of five-word shingles near each other, found by vantage-point trees
+    (``shingle_links``; 512 bits, since a radius of 4 of 64 holds few texts alike by 0.8). Of these,
+    texts are linked whose sets of shingles are alike by 0.8 or more. Null, empty and word-free texts have the same empty set: one of them
     stays, as of any other copies. Rows are told apart by doc_id and a hash of the whole
     row; of repeated rows one stays; a null doc_id stays only where its component has no other.
     Long texts count whole. An empty table stays empty; further columns come back as they were,
